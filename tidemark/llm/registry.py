@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, exact_dedup, packing
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, exact_dedup, knn, packing, warc
 from tidemark.llm.shared import table
 
 
+def op1_voronoi_knn(spark, sf_dir):
+    return knn.voronoi_knn(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op5_byte_bpe(spark, sf_dir):
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_seekable_warc(spark, sf_dir):
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -18,8 +28,10 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op8_exact_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_voronoi_knn, op5_byte_bpe, op6_seekable_warc, op8_exact_dedup, op10_best_fit_packing)}
 
 ORACLES = {
+    "op1_voronoi_knn": knn.ORACLE_SQL,
+    "op6_seekable_warc": warc.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
