@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, knn, packing, warc
+from tidemark.llm import bpe, exact_dedup, knn, near_dedup, packing, warc
 from tidemark.llm.shared import table
 
 
@@ -12,6 +12,10 @@ def op1_voronoi_knn(spark, sf_dir):
     return knn.voronoi_knn(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark, sf_dir):
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"))
 
@@ -28,10 +32,11 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_voronoi_knn, op5_byte_bpe, op6_seekable_warc, op8_exact_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_voronoi_knn, op2_near_dedup, op5_byte_bpe, op6_seekable_warc, op8_exact_dedup, op10_best_fit_packing)}
 
 ORACLES = {
     "op1_voronoi_knn": knn.ORACLE_SQL,
+    "op2_near_dedup": near_dedup.ORACLE_SQL,
     "op6_seekable_warc": warc.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }
