@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, knn, near_dedup, packing, warc
+from tidemark.llm import bpe, exact_dedup, knn, licenses, near_dedup, packing, secrets, warc
 from tidemark.llm.shared import table
 
 
@@ -32,7 +32,15 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_voronoi_knn, op2_near_dedup, op5_byte_bpe, op6_seekable_warc, op8_exact_dedup, op10_best_fit_packing)}
+def op3_secret_ownership(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("places")
+
+
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.document_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_voronoi_knn, op2_near_dedup, op3_secret_ownership, op5_byte_bpe, op6_seekable_warc, op7_license_scan, op8_exact_dedup, op10_best_fit_packing)}
 
 ORACLES = {
     "op1_voronoi_knn": knn.ORACLE_SQL,
