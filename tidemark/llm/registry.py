@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, knn, licenses, near_dedup, packing, secrets, warc
+from tidemark.llm import bpe, exact_dedup, knn, langid, licenses, near_dedup, packing, secrets, warc
 from tidemark.llm.shared import table
 
 
@@ -40,7 +40,11 @@ def op7_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.document_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_voronoi_knn, op2_near_dedup, op3_secret_ownership, op5_byte_bpe, op6_seekable_warc, op7_license_scan, op8_exact_dedup, op10_best_fit_packing)}
+def op4_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_voronoi_knn, op2_near_dedup, op3_secret_ownership, op4_language_id, op5_byte_bpe, op6_seekable_warc, op7_license_scan, op8_exact_dedup, op10_best_fit_packing)}
 
 ORACLES = {
     "op1_voronoi_knn": knn.ORACLE_SQL,
