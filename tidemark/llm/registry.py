@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, knn, langid, licenses, near_dedup, packing, secrets, warc
+from tidemark.llm import bpe, exact_dedup, knn, langid, licenses, near_dedup, packing, quality, secrets, warc
 from tidemark.llm.shared import table
 
 
@@ -44,7 +45,12 @@ def op4_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_voronoi_knn, op2_near_dedup, op3_secret_ownership, op4_language_id, op5_byte_bpe, op6_seekable_warc, op7_license_scan, op8_exact_dedup, op10_best_fit_packing)}
+def op9_quality_cotraining(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_voronoi_knn, op2_near_dedup, op3_secret_ownership, op4_language_id, op5_byte_bpe, op6_seekable_warc, op7_license_scan, op8_exact_dedup, op9_quality_cotraining, op10_best_fit_packing)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLES = {
     "op1_voronoi_knn": knn.ORACLE_SQL,
