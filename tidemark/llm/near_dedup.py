@@ -7,9 +7,9 @@ large after all levels hold near-copies of each other and are compared with a le
 known, exhaustively between whatever is still unlinked. Every link is confirmed on the full sets, read again from the
 texts of the documents concerned. Components come from alternating stars.
 
-The first wave confirms the best earlier partner of each class, which already joins most groups; the second wave
-confirms every remaining candidate between different components, so no candidate goes unchecked and copies are never
-expanded into all pairs.
+The first wave confirms the best earlier partner of each class, which already joins most groups. The second wave
+brings the sets of classes that still have a candidate in another component into their nodes and confirms every such
+candidate there, so none goes unchecked and only links that join components leave a node: no pairs are ever spelt out.
 """
 
 from __future__ import annotations
@@ -163,12 +163,14 @@ def _sketches(column: pa.Array, width: int) -> np.ndarray:
 def _comparer(width: int, least: int, percent: int, every: bool):
     """Compares the classes of each node; rows come sorted by node and class.
 
-    ``every``: all candidates between different labels; else the best earlier candidate of each class.
+    ``every``: node and class (as a, b) of all that have a candidate of another label; else the best earlier candidate
+    of each class.
     """
 
     def pairs(t: dict[str, np.ndarray]) -> pa.RecordBatch:
         node, cls, n, label, sketch = (t[k] for k in ("node", "cls", "n", "label", "sketch"))
         best, partner = np.zeros(len(node), np.int64), np.full(len(node), -1)
+        open_ = np.zeros(len(node), bool)
         out = []
         for off in range(1, len(node)):
             b = np.flatnonzero(node[off:] == node[:-off]) + off
@@ -182,11 +184,13 @@ def _comparer(width: int, least: int, percent: int, every: bool):
             same = (sketch[a] == sketch[b]).sum(1)
             a, b, same = a[same >= least], b[same >= least], same[same >= least]
             if every:
-                out.append((cls[a], cls[b], same))
+                open_[a] = open_[b] = True
             else:  # later offsets reach smaller classes, which win ties
                 better = same >= best[b]
                 best[b[better]], partner[b[better]] = same[better], a[better]
-        if not every:
+        if every:
+            out.append((node[open_], cls[open_], best[open_]))
+        else:
             b = np.flatnonzero(partner >= 0)
             out.append((cls[partner[b]], cls[b], best[b]))
         a, b, same = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
@@ -210,20 +214,102 @@ def _comparer(width: int, least: int, percent: int, every: bool):
     return run
 
 
+class Joiner:
+    """Components within one node: confirms candidates on full sets and keeps the links that join something."""
+
+    def __init__(self, percent: int):
+        self.percent, self.parent, self.links = percent, {}, []
+
+    def root(self, x):
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def confirm(self, at: int, own: np.ndarray, others: np.ndarray, sets: list[np.ndarray], cls: np.ndarray, label: np.ndarray) -> None:
+        """Class ``cls[at]`` with set ``own`` against its candidates, numbers into the arrays."""
+        mine = self.root(label[at])
+        others = [o for o in others.tolist() if self.root(label[o]) != mine]
+        if not others:
+            return
+        sizes = np.array([len(sets[o]) for o in others])
+        joined = np.concatenate([sets[o] for o in others])
+        place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+        common = np.add.reduceat((own[place] == joined).astype(np.int64), sizes.cumsum() - sizes)
+        for o in np.flatnonzero(100 * common >= self.percent * (len(own) + sizes - common)):
+            x, y = self.root(label[at]), self.root(label[others[o]])
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                self.links.append((int(cls[at]), int(cls[others[o]])))
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _node_links(width: int, least: int, percent: int):
+    """Links that join components within small nodes; rows come sorted by node and class, with their full sets."""
+
+    def solve(t: dict) -> list[tuple[int, int]]:
+        joiner = Joiner(percent)
+        n, sketch, label = t["n"], t["sketch"], t["label"]
+        for i in range(1, len(n)):
+            fits = (label[:i] != label[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
+            near = np.flatnonzero(fits)
+            near = near[(sketch[near] == sketch[i]).sum(1) >= least]
+            if len(near):
+                joiner.confirm(i, t["set"][i], near, t["set"], t["cls"], label)
+        return joiner.links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ("node", "cls", "n", "label"), None
+        for batch in _then_none(batches):
+            if batch is not None and not batch.num_rows:
+                continue
+            if batch is not None:
+                t = {k: batch.column(k).to_numpy() for k in names} | {"sketch": _sketches(batch.column("sketch"), width), "set": _sets(batch.column("shingles"))}
+                if held:
+                    t = {k: held[k] + t[k] if k == "set" else np.concatenate([held[k], t[k]]) for k in t}
+                cut = int(np.searchsorted(t["node"], t["node"][-1]))
+            elif held:
+                t, cut = held, len(held["node"])
+            else:
+                return
+            held = {k: v[cut:] for k, v in t.items()}
+            edges = np.flatnonzero(np.diff(t["node"][:cut])) + 1
+            out = []
+            for a, b in zip([0, *edges], [*edges, cut], strict=True):
+                if b - a > 1:
+                    out += solve({k: v[a:b] for k, v in t.items()})
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    return run
+
+
+def _then_none(batches):
+    yield from batches
+    yield None
+
+
 def _cross(width: int, least: int, percent: int):
-    """Candidates between the unlinked classes of a large node (left) and a share of all its classes (right)."""
+    """Links between the unlinked classes of a large node (left) and a share of all its classes (right)."""
     import pandas as pd
 
     def run(left, right):
-        out = []
+        joiner = Joiner(percent)
         if len(left) and len(right):
             ls, rs = _sketches(pa.array(left["sketch"]), width), _sketches(pa.array(right["sketch"]), width)
-            rn, rc, rl = (right[k].to_numpy() for k in ("n", "cls", "label"))
-            for i, row in enumerate(left.itertuples()):
-                fits = np.flatnonzero((rl != row.label) & (100 * np.minimum(rn, row.n) >= percent * np.maximum(rn, row.n)))
-                same = (rs[fits] == ls[i]).sum(1)
-                out += [(min(row.cls, c), max(row.cls, c), s) for c, s in zip(rc[fits[same >= least]], same[same >= least], strict=True)]
-        return pd.DataFrame(out, columns=["a", "b", "same"]).astype("int64")
+            n, cls, label = (np.concatenate([right[k].to_numpy(), left[k].to_numpy()]) for k in ("n", "cls", "label"))
+            sets = [np.frombuffer(x, np.uint64) for k in (right, left) for x in k["shingles"]]
+            of = len(right)
+            for i in range(len(left)):
+                at = of + i
+                fits = np.flatnonzero((label[:of] != label[at]) & (100 * np.minimum(n[:of], n[at]) >= percent * np.maximum(n[:of], n[at])))
+                fits = fits[(rs[fits] == ls[i]).sum(1) >= least]
+                if len(fits):
+                    joiner.confirm(at, sets[at], fits, sets, cls, label)
+        return pd.DataFrame(joiner.links, columns=["u", "v"]).astype("int64")
 
     return run
 
@@ -256,10 +342,8 @@ def trees_for(recall: float, similarity: float, depth: int = 3) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
 
 
-def _confirmed(docs: DataFrame, candidates: DataFrame, percent: int, words: int) -> DataFrame:
-    """The candidate pairs (a, b) that are links, on full sets read from the texts."""
-    pairs = staged(candidates, "candidates")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+def _read_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``cls, shingles``: full sets of the classes named in ``ids`` (cls), perhaps of some others, and again for repeated rows."""
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,10 +361,16 @@ def _confirmed(docs: DataFrame, candidates: DataFrame, percent: int, words: int)
     )
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[filled["word"].to_numpy(dtype=np.int64)] = filled["value"].to_numpy(dtype=np.int64)
-    sets = staged(docs.mapInArrow(_set_reader(bits.tobytes(), words), "doc_id long, shingles binary"), "sets")
+    return staged(docs.mapInArrow(_set_reader(bits.tobytes(), words), "doc_id long, shingles binary").withColumnRenamed("doc_id", "cls"), "sets")
+
+
+def _confirmed(docs: DataFrame, candidates: DataFrame, percent: int, words: int) -> DataFrame:
+    """The candidate pairs (a, b) that are links, on full sets read from the texts."""
+    pairs = staged(candidates, "candidates")
+    sets = _read_sets(docs, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))), words)
     joined = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right")), "b")
+        pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
+        .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
         .select("a", "b", "left", "right")
     )
     return joined.mapInArrow(_confirm(percent), "u long, v long")
@@ -362,11 +452,16 @@ def near_dedup(
     links = staged(first, "links")
     labels = connected_components(links)
 
-    # second wave: every candidate between components that are still apart
-    apart = compared(True, labels).select("a", "b")
-    if not large.isEmpty():
-        apart = apart.unionByName(_large_nodes(large, labels, tokens, least, percent).select("a", "b"))
-    second = _confirmed(docs, apart.distinct(), percent, words)
+    # second wave: classes with a candidate in another component meet again in their nodes, now with their sets
+    columns = ["node", "cls", "n", "label", "sketch", "shingles"]
+    open_ = staged(compared(True, labels).select(F.col("a").alias("node"), F.col("b").alias("cls")), "open")
+    unsettled = None if large.isEmpty() else _unsettled(large, labels)
+    ids = open_.select("cls") if unsettled is None else open_.select("cls").unionByName(unsettled.select("cls"))
+    sets = _read_sets(docs, ids, words)
+    again = _labelled(open_.join(sketches, "cls"), labels).join(sets, "cls").select(columns).repartition("node").sortWithinPartitions("node", "cls")
+    second = again.mapInArrow(_node_links(tokens, least, percent), "u long, v long")
+    if unsettled is not None:
+        second = second.unionByName(_large_nodes(unsettled.join(sets, "cls"), tokens, least, percent))
     labels = connected_components(second.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
 
     of_class = staged(_labelled(classes.select("digest", "cls"), labels).select("digest", "label"), "components")
@@ -381,8 +476,8 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
-def _large_nodes(large: DataFrame, labels: DataFrame, width: int, least: int, percent: int) -> DataFrame:
-    """Candidates of nodes that stayed large: of two unlinked classes at least one is outside the node's largest component."""
+def _unsettled(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of nodes that stayed large and hold several components, with the largest of these and the deal of the rows."""
     rows = staged(_labelled(large, labels), "labelled")
     counts = rows.groupBy("node", "label").agg(F.count("*").alias("n_label"))
     nodes = staged(
@@ -392,11 +487,16 @@ def _large_nodes(large: DataFrame, labels: DataFrame, width: int, least: int, pe
         .select("node", F.col("top.label").alias("top"), F.ceil((F.col("n_all") - F.col("top.n_label")) / CHUNK).alias("chunks"), F.ceil(F.col("n_all") / SHARE).alias("shares")),
         "apart",
     )
-    known = rows.join(nodes, "node")
+    return staged(rows.join(nodes, "node"), "unsettled")
+
+
+def _large_nodes(known: DataFrame, width: int, least: int, percent: int) -> DataFrame:
+    """Links within nodes that stayed large: of two unlinked classes at least one is outside the node's largest component."""
     right = known.withColumn("share", F.pmod(F.xxhash64("cls"), F.col("shares"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     left = known.where("label <> top").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks"))).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-    key, columns = ["node", "chunk", "share"], ["node", "chunk", "share", "cls", "n", "label", "sketch"]
-    return left.select(columns).groupBy(*key).cogroup(right.select(columns).groupBy(*key)).applyInPandas(_cross(width, least, percent), "a long, b long, same long")
+    key, columns = ["node", "chunk", "share"], ["node", "chunk", "share", "cls", "n", "label", "sketch", "shingles"]
+    left = left.select([F.col(c).alias(c) for c in columns])  # other columns than those of the right side
+    return left.groupBy(*key).cogroup(right.select(columns).groupBy(*key)).applyInPandas(_cross(width, least, percent), "u long, v long")
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
