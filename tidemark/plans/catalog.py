@@ -9,6 +9,7 @@ from tidemark.functions import claims as C
 from tidemark.functions import safety as S
 from tidemark.functions import words as W
 from tidemark.operators import chunking, context, evaluation, extraction, fusion, graph, lifecycle, monitoring, relations, salience, search, store
+from tidemark.plans import engine, experiments
 from tidemark.plans import fixtures as X
 from tidemark.plans import sql as Q
 from tidemark.sources import tables as T
@@ -566,3 +567,46 @@ def sliding_limiter(spark, d):
 @query()
 def token_bucket(spark, d):
     return monitoring.token_bucket(T.read(spark, d, "events"), 1 / 3600, 3)
+
+
+# ---- ingestion and questions -----------------------------------------------------------------------------------------
+def _dialogue(spark, d):
+    """Turns of ``conversations``, and the sentences of the fixture as one more message each."""
+    said = X.claims(spark).select(
+        "conversation_id", F.lit("S0").alias("session_id"), F.col("seq").cast("long").alias("turn_index"), F.concat(F.lit("D"), F.col("seq").cast("string")).alias("dia_id"), F.lit("user").alias("speaker"),
+        F.col("claim").alias("text"), F.lit("").alias("timestamp"),
+    )
+    return _turns(spark, d).unionByName(said)
+
+
+@query()
+def replay_ingest(spark, d):
+    return engine.replay_ingest(_dialogue(spark, d))
+
+
+@query()
+def bulk_ingest(spark, d):
+    return engine.bulk_ingest(_dialogue(spark, d))[0].select("conversation_id", "mu_id", "turn_index", "claim", "confidence", "status")
+
+
+@query()
+def bulk_edges(spark, d):
+    return engine.bulk_ingest(_dialogue(spark, d))[1].select("source_mu_id", "target_mu_id", "edge_type", "weight")
+
+
+@query()
+def ask_batch(spark, d):
+    turns = _dialogue(spark, d)
+    units, edges = engine.bulk_ingest(turns)
+    asked = turns.where("turn_index = 1").select(F.col("conversation_id").alias("query_id"), "conversation_id", F.col("text").alias("question"))
+    return engine.ask(asked, units, edges, turns)
+
+
+@query()
+def chunk_experiment(spark, d):
+    turns = _turns(spark, d)
+    asked = turns.where("turn_index = 2").select(
+        F.concat("conversation_id", F.lit("_qa")).alias("qa_id"), "conversation_id", F.substring("text", 1, 80).alias("question"), F.col("text").alias("answer"),
+        F.col("speaker").alias("category"), F.array("dia_id").alias("gold_evidence_ids"),
+    )
+    return experiments.report(experiments.chunk_retrieval(turns, asked, experiments.Experiment()))[1]
