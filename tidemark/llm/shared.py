@@ -1,37 +1,13 @@
-"""What the operators of this subpackage share: the cluster's shared folder, and table access.
-
-Intermediate tables are written to the folder that the cluster names in ``spark.checkpoint.dir``, so a lost executor
-costs at most the tasks it ran: nothing is recomputed from the inputs and nothing lives on one machine's disk.
-"""
+"""What the operators of this subpackage share: tables, texts, and intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_roots: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is set (tests on one machine), a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = tempfile.mkdtemp(prefix="tidemark-")
-    return _own_roots[app]
-
+from tidemark.sources.scratch import shared_root, staged
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_root", "staged", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
