@@ -122,3 +122,39 @@ def scan_licenses(files: DataFrame, path: Column, templates: dict[str, list[str]
 def document_path() -> Column:
     """Documents have no paths; this one sorts them by source, language and thousands of doc_id."""
     return F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_FORMS = ", ".join(f"({_quoted(name)}, {i}, {_quoted(form)})" for name, forms in TEMPLATES.items() for i, form in enumerate(forms))
+_TERMS = "regexp_extract_all(lower(line), " + _quoted(TERM) + ")"
+ORACLE_SQL = f"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), CAST(floor(doc_id / 1000) AS BIGINT), doc_id) AS path,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\r\\n]+'), lambda x: length(trim(x)) > 0) AS lines FROM documents),
+h AS (SELECT row, unnest(list_filter(lines, lambda x: regexp_matches(x, {_quoted(CUE)}))) AS line FROM t),
+f AS (SELECT * FROM (VALUES {_FORMS}) AS f(license, form, line)),
+ft AS (SELECT license, form, term, count(*) AS tf FROM (SELECT license, form, unnest({_TERMS}) AS term FROM f) GROUP BY ALL),
+v AS (SELECT DISTINCT term FROM ft),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM h),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TERMS})) AS term FROM h) GROUP BY term),
+idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM v CROSS JOIN n LEFT JOIN df USING (term)),
+fw AS (SELECT license, form, term, tf * idf AS w FROM ft JOIN idf USING (term)),
+fn AS (SELECT license, form, sqrt(sum(w * w)) AS norm FROM fw GROUP BY ALL),
+d AS (SELECT DISTINCT line FROM h),
+lw AS (SELECT line, term, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest({_TERMS}) AS term FROM d) GROUP BY ALL) CROSS JOIN n LEFT JOIN idf USING (term)),
+ln AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY line),
+c AS (SELECT lw.line, fw.license, round(sum(lw.w * fw.w) / (any_value(ln.norm) * any_value(fn.norm)), 6) AS cosine
+  FROM lw JOIN fw USING (term) JOIN fn ON fn.license = fw.license AND fn.form = fw.form JOIN ln ON ln.line = lw.line GROUP BY lw.line, fw.license, fw.form),
+b AS (SELECT line, license, cosine FROM c WHERE cosine >= {COSINE} QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, license) = 1),
+r AS (SELECT row, license, cosine, count(*) OVER (PARTITION BY row) AS n_license_lines FROM h JOIN b USING (line) QUALIFY row_number() OVER (PARTITION BY row ORDER BY cosine DESC, license) = 1),
+o AS (SELECT t.row, doc_id, path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') END AS directory, license AS own_license, cosine, n_license_lines / CAST(len(lines) AS DOUBLE) >= {SHARE} AS mostly FROM t LEFT JOIN r USING (row)),
+g AS (SELECT directory AS above, own_license AS given FROM o WHERE own_license IS NOT NULL AND directory IS NOT NULL AND (mostly OR regexp_matches(path, {_quoted(LICENSE_NAME)}))
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY path, own_license) = 1),
+a AS (SELECT directory, above, given FROM (SELECT DISTINCT directory FROM o) JOIN g ON directory = above OR starts_with(directory, above || '/') QUALIFY row_number() OVER (PARTITION BY directory ORDER BY length(above) DESC) = 1)
+SELECT doc_id, path, own_license, cosine, coalesce(own_license, given) AS license, CASE WHEN own_license IS NULL THEN above END AS license_from,
+  CASE WHEN own_license IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin
+FROM o LEFT JOIN a USING (directory)
+"""

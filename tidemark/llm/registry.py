@@ -55,6 +55,8 @@ QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {
     "op1_voronoi_knn": knn.ORACLE_SQL,
     "op2_near_dedup": near_dedup.ORACLE_SQL,
+    "op3_secret_ownership": secrets.ORACLE_SQL,
     "op6_seekable_warc": warc.ORACLE_SQL,
+    "op7_license_scan": licenses.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -135,4 +135,31 @@ def mask_secrets(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     return out.select(docs.columns)
 
 
-ORACLE_SQL = None
+def _matches_sql(kind: int, pattern: str, group: int) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT row, owner, {kind} AS kind, unnest(range(len(regexp_split_to_array(text, {quoted})))) AS i, unnest(regexp_split_to_array(text, {quoted})) AS gap,
+      unnest(regexp_extract_all(text, {quoted}, 0)) AS m, unnest(regexp_extract_all(text, {quoted}, {group})) AS v FROM t"""
+
+
+# RE2 has no lookbehind; the leftmost match of a long run starts at its beginning anyway
+ORACLE_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents),
+m AS ({" UNION ALL ".join([_matches_sql(0, ASSIGN, 2), _matches_sql(1, ACCESS, 0), _matches_sql(2, HEX, 0), _matches_sql(3, LONG_TOKEN[LONG_TOKEN.index(")") + 1 :], 0)])}),
+p AS (
+  SELECT *, sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY row, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM m WINDOW w AS (PARTITION BY row, kind ORDER BY i)),
+s AS (SELECT row, owner, kind, v, start, start + length(m) AS stop FROM p WHERE m IS NOT NULL AND length(v) >= CASE kind WHEN 0 THEN {ASSIGNED} ELSE 0 END),
+c AS (
+  SELECT * FROM s WHERE kind < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+    AND NOT EXISTS (SELECT 1 FROM s b WHERE b.row = s.row AND b.kind < 3 AND b.start < s.stop AND s.start < b.stop))),
+f AS (SELECT v, count(DISTINCT owner) AS owners FROM c GROUP BY v),
+k AS (SELECT c.*, owners, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS said FROM c JOIN f USING (v) WHERE kind < 3 OR owners = 1),
+g AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_owned,
+    count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= {WIDE}) AS n_examples,
+    string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY start, kind) AS spans
+  FROM k GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_owned, 0) AS n_owned, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples
+FROM t LEFT JOIN g USING (row)
+"""
