@@ -28,6 +28,16 @@ def exact_match(predicted: Column, gold: Column) -> Column:
     return normal_answer(predicted) == normal_answer(gold)
 
 
+def token_f1_rows(rows: DataFrame, key: str, predicted: str, gold: str) -> DataFrame:
+    """``key, f1, exact_match`` like the two above, for answers of any length: words are counted and joined, not searched."""
+    read = rows.select(key, words(normal_answer(F.col(predicted))).alias("_p"), words(normal_answer(F.col(gold))).alias("_g"))
+    counted = lambda c, n: read.select(key, F.explode(c).alias("_w")).groupBy(key, "_w").agg(F.count("*").alias(n))
+    common = counted("_p", "_np").join(counted("_g", "_ng"), [key, "_w"]).groupBy(key).agg(F.sum(F.least("_np", "_ng")).alias("_c"))
+    p, g = F.size("_p"), F.size("_g")
+    f1 = F.when((p == 0) & (g == 0), 1.0).when((p == 0) | (g == 0), 0.0).otherwise(F.round(2 * F.coalesce("_c", F.lit(0)) / (p + g), 4))
+    return read.join(common, key, "left").select(key, f1.alias("f1"), (F.col("_p") == F.col("_g")).alias("exact_match"))
+
+
 def evidence_recall(gold: Column, retrieved: Column) -> Column:
     """Share of gold ids, repeats included, among the retrieved ones; null without gold."""
     found = F.size(F.filter(gold, lambda x: F.array_contains(retrieved, x)))

@@ -62,10 +62,11 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", tex
     read = _terms(docs, [doc_id, *by], text).withColumn("_len", F.size("_tokens"))
     total = read.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
     df = read.select(*by, F.explode(F.array_distinct("_tokens")).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("_df"))
-    join_total = (lambda t: t.join(F.broadcast(total), by)) if by else (lambda t: t.crossJoin(F.broadcast(total)))  # one row, or one a scope
-    idf = join_total(df).withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
+    # without a scope these are single rows and may be broadcast; with one they grow with it, and the planner decides
+    with_facts = (lambda t, facts: t.join(facts, by)) if by else (lambda t, facts: t.crossJoin(F.broadcast(facts)))
+    idf = with_facts(df, total).withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
     mean = idf.groupBy(*by).agg(F.avg("_idf").alias("_mean"))
-    idf = (idf.join(F.broadcast(mean), by) if by else idf.crossJoin(F.broadcast(mean))).withColumn("_idf", F.when(F.col("_idf") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_idf")))
+    idf = with_facts(idf, mean).withColumn("_idf", F.when(F.col("_idf") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_idf")))
     wanted = _terms(queries, [query_id, *by], question).select(query_id, *by, F.explode("_tokens").alias("term")).groupBy(query_id, *by, "term").agg(F.count("*").alias("_times"))
     vocabulary = wanted.select("term").distinct()
     if vocabulary.limit(SMALL_VOCABULARY + 1).count() <= SMALL_VOCABULARY:
@@ -79,12 +80,14 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", tex
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, positive: bool = True, doc_id: str = "doc_id", text: str = "text", query_id: str = "query_id", question: str = "text", scope: str | None = None) -> DataFrame:
     """``query_id, rank, doc_id, score``; with ``positive`` only scores above 0, else all documents of the scope are ranked."""
+    if not positive and not scope:
+        raise ValueError("ranking documents that share no word with the query needs a scope")
     scores = bm25_scores(docs, queries, doc_id, text, query_id, question, scope)
     if positive:
         scores = scores.where("score > 0")
     else:
-        asked = _terms(queries, [query_id, *([scope] if scope else [])], question).where(F.size("_tokens") > 0).drop("_tokens")
-        pool = asked.join(docs.select(doc_id, *([scope] if scope else [])), [scope]) if scope else asked.crossJoin(F.broadcast(docs.select(doc_id)))
+        asked = _terms(queries, [query_id, scope], question).where(F.size("_tokens") > 0).drop("_tokens")
+        pool = asked.join(docs.select(doc_id, scope), scope)
         scores = pool.select(query_id, doc_id).join(scores, [query_id, doc_id], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select(query_id, "rank", doc_id, "score")

@@ -51,7 +51,7 @@ def _vectors(spark: SparkSession, d: str, part=None) -> DataFrame:
 
 def _lane(spark: SparkSession, d: str, k: int, part=None) -> DataFrame:
     v = _vectors(spark, d, part)
-    asked = v.where("mu_id % 25 = 0").select(F.col("mu_id").alias("query_id"), "conversation_id", "vector")
+    asked = v.where("mu_id % 50 = 0").select(F.col("mu_id").alias("query_id"), "conversation_id", "vector")
     return search.dense_topk(asked, v, k)
 
 
@@ -59,7 +59,7 @@ def _lane_sql(k: int, part: str = "") -> str:
     v = f"embedding{part}"
     return f"""(SELECT * FROM (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({Q.dot('q.v', 'u.v')}, 6) DESC, u.vec_id) AS rank,
       u.vec_id AS mu_id, round({Q.dot('q.v', 'u.v')}, 6) AS score
-      FROM (SELECT *, {v} AS v FROM embeddings WHERE vec_id % 25 = 0) q JOIN (SELECT *, {v} AS v FROM embeddings) u ON q.label = u.label) WHERE rank <= {k})"""
+      FROM (SELECT *, {v} AS v FROM embeddings WHERE vec_id % 50 = 0) q JOIN (SELECT *, {v} AS v FROM embeddings) u ON q.label = u.label) WHERE rank <= {k})"""
 
 
 # ---- search and fusion -----------------------------------------------------------------------------------------------
@@ -358,11 +358,11 @@ def access_counts(spark, d):
 
 # ---- graph -----------------------------------------------------------------------------------------------------------
 @query(f"""WITH e AS {_EDGES_SQL}, b AS (SELECT source_mu_id AS n, target_mu_id AS m FROM e UNION SELECT target_mu_id, source_mu_id FROM e),
-s AS (SELECT mu_id FROM {_UNITS} WHERE mu_id % 20 = 0), h1 AS (SELECT DISTINCT mu_id AS seed, m AS neighbour FROM s JOIN b ON n = mu_id),
+s AS (SELECT mu_id FROM {_UNITS}), h1 AS (SELECT DISTINCT mu_id AS seed, m AS neighbour FROM s JOIN b ON n = mu_id),
 h2 AS (SELECT DISTINCT seed, m AS neighbour FROM h1 JOIN b ON n = neighbour WHERE m <> seed)
 SELECT seed, neighbour, CAST(1 AS INTEGER) AS hop FROM h1 UNION ALL SELECT seed, neighbour, 2 FROM h2 WHERE NOT EXISTS (SELECT 1 FROM h1 WHERE h1.seed = h2.seed AND h1.neighbour = h2.neighbour)""")
 def graph_neighbors_2hop(spark, d):
-    return graph.within_hops(_edges(spark, d), _units(spark, d).where("mu_id % 20 = 0"), 2)
+    return graph.within_hops(_edges(spark, d), _units(spark, d), 2)
 
 
 @query(f"""WITH e AS {_EDGES_SQL}, u AS {_UNITS}, b AS (SELECT source_mu_id AS n FROM e UNION ALL SELECT target_mu_id FROM e), g AS (SELECT n, count(*) AS degree FROM b GROUP BY 1), t AS (SELECT count(*) AS total FROM u)
@@ -398,18 +398,16 @@ def grounding_verdict(spark, d):
 
 
 # ---- evaluation ------------------------------------------------------------------------------------------------------
-_F1 = f"""p AS (SELECT item_id, {Q.normal_words('text')} AS g, {Q.normal_words('lead(text, 1, text) OVER (ORDER BY item_id)')} AS p FROM benchmark)"""
-
-
-@query(f"""WITH p AS (SELECT query_id, rank, doc_id, b.text AS gold, substr(d.text, 1, 400) AS answer FROM (WITH {Q.bm25('documents', '(SELECT item_id AS query_id, text FROM benchmark)')} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id FROM s WHERE score > 0) r
-  JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 1), w AS (SELECT query_id, {Q.normal_words('gold')} AS g, {Q.normal_words('answer')} AS a FROM p)
-SELECT query_id, CASE WHEN len(a) = 0 AND len(g) = 0 THEN 1.0 WHEN len(a) = 0 OR len(g) = 0 THEN 0.0 ELSE round(2 * list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))) / CAST(len(a) + len(g) AS DOUBLE), 4) END AS f1,
-  array_to_string(a, ' ') = array_to_string(g, ' ') AS exact_match FROM w""")
+@query(f"""WITH p AS (SELECT query_id, rank, doc_id, b.text AS gold, d.text AS answer FROM (WITH {Q.bm25('documents', '(SELECT item_id AS query_id, text FROM benchmark)')} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id FROM s WHERE score > 0) r
+  JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 1), w AS (SELECT query_id, {Q.normal_words('gold')} AS g, {Q.normal_words('answer')} AS a FROM p),
+c AS (SELECT query_id, sum(least(x.n, y.n)) AS both_n FROM (SELECT query_id, t, count(*) AS n FROM (SELECT query_id, unnest(a) AS t FROM w) GROUP BY ALL) x JOIN (SELECT query_id, t, count(*) AS n FROM (SELECT query_id, unnest(g) AS t FROM w) GROUP BY ALL) y USING (query_id, t) GROUP BY 1)
+SELECT query_id, CASE WHEN len(a) = 0 AND len(g) = 0 THEN 1.0 WHEN len(a) = 0 OR len(g) = 0 THEN 0.0 ELSE round(2 * coalesce(both_n, 0) / CAST(len(a) + len(g) AS DOUBLE), 4) END AS f1,
+  array_to_string(a, ' ') = array_to_string(g, ' ') AS exact_match FROM w LEFT JOIN c USING (query_id)""")
 def qa_token_f1(spark, d):
     top = bm25_topk(spark, d).where("rank = 1")
     gold = T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("gold"))
-    docs = T.read(spark, d, "documents").select("doc_id", F.substring("text", 1, 400).alias("answer"))
-    return top.join(gold, "query_id").join(docs, "doc_id").select("query_id", evaluation.token_f1(F.col("answer"), F.col("gold")).alias("f1"), evaluation.exact_match(F.col("answer"), F.col("gold")).alias("exact_match"))
+    docs = T.read(spark, d, "documents").select("doc_id", F.col("text").alias("answer"))
+    return evaluation.token_f1_rows(top.join(gold, "query_id").join(docs, "doc_id"), "query_id", "answer", "gold")
 
 
 _RECALL = f"""h AS (SELECT query_id, list(mu_id % 20) AS retrieved FROM {_lane_sql(5)} GROUP BY 1), h10 AS (SELECT query_id, list(mu_id % 20) AS deeper FROM {_lane_sql(10)} GROUP BY 1),
@@ -490,12 +488,12 @@ def failure_classification(spark, d):
     return evaluation.failures(rows).drop("conversation_id")
 
 
-@query(f"""WITH {_RECALL}, g2 AS (SELECT DISTINCT query_id, query_id % 10 AS conversation_id, category, unnest(gold) AS dia_id FROM g), k AS (SELECT DISTINCT vec_id % 10 AS conversation_id, vec_id % 20 AS dia_id FROM embeddings WHERE vec_id % 7 < 3 AND vec_id < 60)
+@query(f"""WITH {_RECALL}, g2 AS (SELECT DISTINCT query_id, query_id % 10 AS conversation_id, category, unnest(gold) AS dia_id FROM g), k AS (SELECT DISTINCT vec_id % 10 AS conversation_id, vec_id % 20 AS dia_id FROM embeddings WHERE vec_id % 7 < 3)
 SELECT category, count(*) AS n_gold, count(k.dia_id) AS n_covered, round(count(k.dia_id) / CAST(count(*) AS DOUBLE), 4) AS coverage FROM g2 LEFT JOIN k USING (conversation_id, dia_id) GROUP BY ROLLUP (category)""")
 def coverage_by_category(spark, d):
     rows = _recall_rows(spark, d).withColumn("conversation_id", F.col("query_id") % 10)
     v = F.col("vec_id")
-    covered = T.read(spark, d, "embeddings").where((v % 7 < 3) & (v < 60)).select((v % 10).alias("conversation_id"), (v % 20).alias("dia_id"))
+    covered = T.read(spark, d, "embeddings").where(v % 7 < 3).select((v % 10).alias("conversation_id"), (v % 20).alias("dia_id"))
     return evaluation.coverage(rows, covered)
 
 
