@@ -217,3 +217,50 @@ def test_experiment(spark):
     assert found.count() == 6 and experiments.report(found)[1].count() == 3
     assert experiments.Experiment().digest() == experiments.Experiment().digest()
     assert experiments.memory_retrieval(t, q).count() == 6
+
+
+def test_more_of_the_store(spark, memory):
+    pick = spark.createDataFrame([("m0",)], "mu_id string")
+    assert store.pinned(memory.units, pick).where("user_pinned").count() == 1
+    back = store.restored(store.compressed(memory, pick, now()), pick, now())
+    assert store.needing_reindex(back.units).count() == 1 and store.needing_reindex(store.reindexed(back.units, pick)).count() == 0
+    assert store.edges_at(memory.edges, pick).count() == 1 and store.edges_at(memory.edges, pick, "target").count() == 0
+    assert store.with_status(memory.units, pick, "forgotten", now()).where("status = 'forgotten'").count() == 1
+    assert graph.without_nodes(memory.edges, pick).count() == 1
+
+
+def test_label_hits_follow_their_archive(spark, memory):
+    pick = spark.createDataFrame([("m0",)], "mu_id string")
+    packed = store.compressed(memory, pick, now())
+    hits = spark.createDataFrame([(1, "m0", 1, "sum"), (1, "m1", 2, "sum")], "query_id int, mu_id string, rank int, short_summary string")
+    assert [r.mu_id for r in fusion.label_lane(hits, packed.units).collect()] == ["m0"]
+    shown = spark.createDataFrame([("m0", "old", ["label"]), ("m1", "kept", ["bm25"])], "mu_id string, claim string, sources array<string>")
+    assert {r.mu_id: r.claim for r in fusion.followed(shown, packed.archives).collect()} == {"m0": "claim 0", "m1": "kept"}
+
+
+def test_transient_units(spark):
+    hits = spark.createDataFrame([(1, "c", "se_D1"), (1, "c", "m1")], "query_id int, conversation_id string, mu_id string")
+    assert [r.claim for r in fusion.transient_units(hits, turns(spark, ["one", "two"])).collect()] == ["Ann: two"]
+
+
+def test_models_ask_only_for_what_the_cache_lacks(spark):
+    from tidemark.plans import models
+
+    asked = models.requests(spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "id int, prompt string"), "m", "v1")
+    key = asked.where("id = 1").first().key
+    cache = spark.createDataFrame([(key, '{"content": "cached"}')], "key string, payload string")
+    answers, new = models.completions(asked, cache, lambda p: p.upper())
+    assert {r.id: r.content for r in answers.collect()} == {1: "cached", 2: "B", 3: "B"} and new.count() == 1
+
+
+def test_driver_side_checks(tmp_path):
+    assert safety.masked_key("sk-123456789") == "sk-1***" and safety.masked_key("x") == "***"
+    assert safety.within(str(tmp_path), "a/b") and not safety.within(str(tmp_path), "../b")
+    for name in ("b", "a", "c"):
+        (tmp_path / name).mkdir()
+    assert sinks.retained(str(tmp_path), 2) == ["a"]
+
+
+def test_settings_files(tmp_path):
+    (tmp_path / "x.json").write_text('{"experiment": {"strategy": "window3", "other": 1}}')
+    assert experiments.Experiment.from_file(str(tmp_path / "x.json")).strategy == "window3"

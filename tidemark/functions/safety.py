@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +64,15 @@ def intent(text: Column) -> Column:
     for start in DEFINITE_QUESTIONS + LIKELY_QUESTIONS:
         asks = asks | low.startswith(start)
     return F.when(asks, "question").otherwise("statement")
+
+
+# ---- on the driver
+def masked_key(key: str | None) -> str:
+    """A key for logs: its first four characters, or nothing of a short one."""
+    return f"{key[:4]}***" if key and len(key) > 8 else "***"
+
+
+def within(base: str, path: str) -> bool:
+    """Whether a path stays inside a folder once all links and dots are resolved."""
+    root = Path(base).resolve()
+    return root in (Path(base) / path).resolve().parents or (Path(base) / path).resolve() == root

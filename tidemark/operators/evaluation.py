@@ -132,3 +132,14 @@ def coverage(gold: DataFrame, covered: DataFrame) -> DataFrame:
     known = covered.select("conversation_id", "dia_id").distinct().withColumn("_known", F.lit(1))
     joined = each.join(known, ["conversation_id", "dia_id"], "left")
     return joined.rollup("category").agg(F.count("*").alias("n_gold"), F.count("_known").alias("n_covered"), F.round(F.count("_known") / F.count("*"), 4).alias("coverage"))
+
+
+def usage_metrics(predictions: DataFrame) -> DataFrame:
+    """Mean tokens and retrieved chunks over predictions (input_tokens, output_tokens, n_chunks), rounded as in reports."""
+    avg = lambda c, places: F.round(F.coalesce(F.avg(c), F.lit(0.0)), places)
+    return predictions.agg(F.count("*").alias("n"), avg("input_tokens", 1).alias("avg_input_tokens"), avg("output_tokens", 1).alias("avg_output_tokens"), avg("n_chunks", 2).alias("avg_chunks"))
+
+
+def covered_turns(units: DataFrame) -> DataFrame:
+    """``conversation_id, covered``: the turns that any unit of the conversation quotes."""
+    return units.select("conversation_id", F.explode("source_dia_ids").alias("d")).groupBy("conversation_id").agg(F.array_sort(F.collect_set("d")).alias("covered"))

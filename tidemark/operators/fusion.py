@@ -112,7 +112,47 @@ def reranked(hits: DataFrame, k: int, per_turn: int = PER_TURN) -> DataFrame:
 
 
 def source_lane(turn_hits: DataFrame, links: DataFrame) -> DataFrame:
-    """Turn hits (query_id, conversation_id, dia_id, rank) as a lane of units; a turn no unit quotes is the hit ``se_<dia_id>``."""
+    """Turn hits (query_id, conversation_id, dia_id, rank) as a lane of units; a turn no unit quotes is the hit ``se_<dia_id>``.
+
+    A unit has a row for each of its turns that was found, so the fusion adds them up.
+    """
     joined = turn_hits.join(links, ["conversation_id", "dia_id"], "left")
     ids = F.coalesce("mu_ids", F.array(F.concat(F.lit("se_"), F.col("dia_id"))))
-    return joined.select("query_id", "rank", F.explode(ids).alias("mu_id")).groupBy("query_id", "mu_id").agg(F.min("rank").alias("rank"))
+    return joined.select("query_id", F.explode(ids).alias("mu_id"), "rank")
+
+
+def expanded_topk(hits: DataFrame, edges: DataFrame, units: DataFrame, k: int) -> DataFrame:
+    """Dense hits (query_id, mu_id, score) among active units, with their active neighbours at 0.8 of the seed's score.
+
+    Neighbours come over relations, supersessions and conflicts in both directions, of the same conversation; the best
+    seed counts. ``query_id, rank, mu_id, score, source``.
+    """
+    live = units.where("status = 'active'").select("mu_id", "conversation_id")
+    found = hits.join(live, "mu_id").select("query_id", "mu_id", "score", "conversation_id")
+    e = edges.where("source_mu_id <> target_mu_id")
+    step = e.select(F.col("source_mu_id").alias("seed"), F.col("target_mu_id").alias("other")).unionByName(e.select(F.col("target_mu_id").alias("seed"), F.col("source_mu_id").alias("other"))).distinct()
+    near = found.select("query_id", F.col("mu_id").alias("seed"), "score", F.col("conversation_id").alias("_c")).join(step, "seed").select("query_id", F.col("other").alias("mu_id"), "score", "_c")
+    near = near.join(live.select([F.col(c).alias(c) for c in live.columns]), "mu_id").where("_c = conversation_id").join(found.select("query_id", "mu_id"), ["query_id", "mu_id"], "left_anti")
+    more = near.groupBy("query_id", "mu_id").agg(F.round(GRAPH_DISCOUNT * F.max("score"), 9).alias("score")).withColumn("source", F.lit("graph"))
+    every = found.select("query_id", "mu_id", "score", F.lit("dense").alias("source")).unionByName(more)
+    return top(every, k, F.desc("score"), F.col("mu_id")).select("query_id", "rank", "mu_id", "score", "source")
+
+
+def label_lane(label_hits: DataFrame, units: DataFrame) -> DataFrame:
+    """Label hits (query_id, mu_id, rank, short_summary) whose units still lie in the archive."""
+    return label_hits.join(units.where(F.col("status").isin("archived", "compressed")).select("mu_id"), "mu_id", "left_semi").select(label_hits.columns)
+
+
+def followed(hits: DataFrame, archives: DataFrame) -> DataFrame:
+    """Hits of the label lane with the claim of their archived snapshot, where it can be read."""
+    snapshot = archives.select("mu_id", F.get_json_object("full_memory_unit_json", "$.claim").alias("_claim"))
+    return hits.join(snapshot, "mu_id", "left").withColumn("claim", F.when(F.array_contains("sources", "label"), F.coalesce("_claim", "claim")).otherwise(F.col("claim"))).drop("_claim")
+
+
+def transient_units(hits: DataFrame, turns: DataFrame) -> DataFrame:
+    """Stand-in units for hits ``se_<dia_id>`` (query_id, conversation_id, mu_id): the turn itself as the claim."""
+    lone = hits.where(F.col("mu_id").startswith("se_")).withColumn("dia_id", F.substring("mu_id", 4, 1 << 20))
+    return lone.join(turns, ["conversation_id", "dia_id"]).select(
+        "query_id", "mu_id", "conversation_id", F.concat(F.col("speaker"), F.lit(": "), F.col("text")).alias("claim"), F.array("dia_id").alias("source_dia_ids"), F.col("speaker").alias("source_speaker"),
+        F.lit(0.5).alias("salience"), F.lit(0.5).alias("confidence"), F.lit("active").alias("status"),
+    )

@@ -93,3 +93,13 @@ def betweenness(units: DataFrame, edges: DataFrame) -> DataFrame:
     kind = dict(units.dtypes)
     inner = inner.select([F.col(c).alias(c) for c in inner.columns])  # other columns than those of the nodes
     return of.groupBy("conversation_id").cogroup(inner.groupBy("conversation_id")).applyInPandas(solve, f"conversation_id {kind['conversation_id']}, mu_id {kind['mu_id']}, betweenness double")
+
+
+def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges that touch none of the named units (mu_id)."""
+    drop = lambda e, end: e.join(gone.select(F.col("mu_id").alias(end)), end, "left_anti").select(edges.columns)
+    return drop(drop(edges, "source_mu_id"), "target_mu_id")
+
+
+def edge_counts(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("edge_type").agg(F.count("*").alias("n"))

@@ -203,3 +203,32 @@ def replaced_by(units: DataFrame, edges: DataFrame) -> DataFrame:
     target = units.select(F.col("mu_id").alias("target_mu_id"), "claim")
     pairs = edges.where("edge_type = 'superseded_by'").join(target, "target_mu_id")
     return pairs.groupBy(F.col("source_mu_id").alias("mu_id")).agg(F.array_sort(F.collect_list("claim")).alias("replaced_by"))
+
+
+def with_status(units: DataFrame, chosen: DataFrame, status: str, now: Column) -> DataFrame:
+    """Chosen units with a new status; their links to label and archive entry are cut."""
+    none = F.lit(None).cast("string")
+    return overlaid(units, chosen.select("mu_id").distinct().select("mu_id", F.lit(status).alias("status"), none.alias("compressed_label_id"), none.alias("archived_entry_id"), now.alias("updated_at")))
+
+
+def pinned(units: DataFrame, chosen: DataFrame, value: bool = True) -> DataFrame:
+    return overlaid(units, chosen.select("mu_id").distinct().withColumn("user_pinned", F.lit(value)))
+
+
+def needing_reindex(units: DataFrame) -> DataFrame:
+    return units.where("needs_reindex").orderBy("created_at", "mu_id")
+
+
+def reindexed(units: DataFrame, chosen: DataFrame) -> DataFrame:
+    return overlaid(units, chosen.select("mu_id").distinct().withColumn("needs_reindex", F.lit(False)))
+
+
+def edges_at(edges: DataFrame, ids: DataFrame, end: str = "source", edge_type: str | None = None) -> DataFrame:
+    """Edges from (``end="source"``) or to (``"target"``) the named units."""
+    chosen = edges if edge_type is None else edges.where(F.col("edge_type") == edge_type)
+    return chosen.join(ids.select(F.col("mu_id").alias(f"{end}_mu_id")).distinct(), f"{end}_mu_id", "left_semi").select(edges.columns)
+
+
+def compression_stats(units: DataFrame) -> DataFrame:
+    """One row a conversation: a count for each status, and the total."""
+    return units.groupBy("conversation_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count("*").alias("total"))

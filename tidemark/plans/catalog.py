@@ -153,6 +153,27 @@ def relation_meta(spark, d):
     return fusion.relation_meta(_edges(spark, d))
 
 
+@query(f"""WITH h AS (SELECT query_id, mu_id, score FROM {_lane_sql(10)} JOIN embeddings ON vec_id = mu_id WHERE mu_id % 4 <> 0),
+e AS (SELECT vec_id AS a, vec_id + 10 AS b FROM embeddings WHERE vec_id % 3 = 0), s AS (SELECT a AS seed, b AS other FROM e UNION SELECT b, a FROM e),
+n AS (SELECT query_id, other AS mu_id, round(CAST(0.8 AS DOUBLE) * max(score), 9) AS score FROM h JOIN s ON seed = h.mu_id JOIN embeddings u ON u.vec_id = other JOIN embeddings v ON v.vec_id = h.mu_id
+  WHERE other % 4 <> 0 AND u.label = v.label AND NOT EXISTS (SELECT 1 FROM h o WHERE o.query_id = h.query_id AND o.mu_id = other) GROUP BY ALL),
+x AS (SELECT *, 'dense' AS source FROM h UNION ALL SELECT *, 'graph' FROM n), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mu_id) AS INTEGER) AS rank FROM x)
+SELECT query_id, rank, mu_id, round(score, 6) AS score, source FROM r WHERE rank <= 8""")
+def dense_with_neighbours(spark, d):
+    units = _vectors(spark, d).select("mu_id", "conversation_id", F.when(F.col("mu_id") % 4 != 0, "active").otherwise("archived").alias("status"))
+    return fusion.expanded_topk(_lane(spark, d, 10), _vector_edges(spark, d), units, 8).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT conversation_id, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'compressed') AS compressed, count(*) FILTER (status = 'archived') AS archived, count(*) FILTER (status = 'forgotten') AS forgotten, count(*) AS total FROM {Q.event_units()} GROUP BY 1")
+def compression_stats(spark, d):
+    return store.compression_stats(_units(spark, d))
+
+
+@query(f"SELECT edge_type, count(*) AS n FROM {Q.event_edges()} GROUP BY 1")
+def edge_counts(spark, d):
+    return graph.edge_counts(_edges(spark, d))
+
+
 # ---- chunks ----------------------------------------------------------------------------------------------------------
 _SPOKEN = f"(SELECT * FROM {Q.turns()} WHERE lower(speaker) NOT IN ('summary', 'system_summary'))"
 _CHUNK_ID = "conversation_id || '__{s}__' || substr(sha1(conversation_id || '|{s}|' || array_to_string(dia_ids, '_')), 1, 8)"

@@ -159,3 +159,13 @@ def sessions(turns: DataFrame) -> DataFrame:
     first = turns.groupBy("conversation_id", "session_id").agg(F.min("turn_index").alias("_first"))
     numbered = first.withColumn("session_no", F.row_number().over(Window.partitionBy("conversation_id").orderBy("_first")))
     return turns.join(numbered.drop("_first"), ["conversation_id", "session_id"])
+
+
+def fast_ingest(turns: DataFrame) -> DataFrame:
+    """Turns as claims at once, without extraction or comparison; importance is the salience of a fresh unit, 0.80."""
+    return extraction.turn_claims(turns).withColumns({"importance": F.lit(0.80), "confidence": F.lit(0.9), "status": F.lit("active")})
+
+
+def live_turns(messages: DataFrame) -> DataFrame:
+    """Messages (conversation_id, session_id, turn_index, speaker, text) as turns, ready for chunking."""
+    return messages.withColumns({"dia_id": F.concat(F.lit("D"), F.col("turn_index").cast("string")), "timestamp": F.lit("")})

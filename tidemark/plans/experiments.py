@@ -23,8 +23,14 @@ class Experiment:
 
     @staticmethod
     def from_file(path: str) -> Experiment:
-        """From JSON, flat or under ``experiment``; keys that no field has are ignored."""
-        raw = json.loads(Path(path).read_text())
+        """From JSON or YAML, flat or under ``experiment``; keys that no field has are ignored."""
+        text = Path(path).read_text()
+        if path.endswith((".yaml", ".yml")):
+            import yaml  # only where such a file is given
+
+            raw = yaml.safe_load(text) or {}
+        else:
+            raw = json.loads(text)
         raw = raw.get("experiment", raw)
         return Experiment(**{k: v for k, v in raw.items() if k in Experiment.__dataclass_fields__})
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +58,18 @@ def compared_runs(runs: dict[str, DataFrame]) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out
+
+
+def empty_run(spark, name: str, reason: str) -> DataFrame:
+    """The record of a run that had nothing to evaluate."""
+    return spark.createDataFrame([(name, 0, reason)], "experiment string, n long, reason string")
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """An index is its table of vectors (mu_id, conversation_id, vector)."""
+    vectors.write.mode("overwrite").parquet(path)
+
+
+def retained(folder: str, newest: int = 10) -> list[str]:
+    """Names of snapshots (sub-folders, named by time) beyond the newest; the caller removes them."""
+    return sorted((p.name for p in Path(folder).iterdir() if p.is_dir()), reverse=True)[newest:]
