@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens remembered by a worker, in each of two generations.
-MEMO = 150_000
+MEMO = 500_000
 #: Unicode White_Space, which tiktoken's \s stands for; fixed values.
 WHITE_SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
