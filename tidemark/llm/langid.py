@@ -288,7 +288,8 @@ def identify(docs: DataFrame, slots: int = SLOTS, reject: float = REJECT) -> Dat
     usable = [(v, t) for v, t in zip(loss, TEMPERATURES, strict=True) if v is not None]
     best = min(usable)[1] if usable else 1.0
     limits = known.where(F.col("lang") == F.col("lang_pred")).groupBy("lang").agg(F.percentile_approx("cross_entropy", reject, 10_000).alias("limit"))
-    limit = F.create_map(*[x for r in limits.collect() for x in (F.lit(r["lang"]), F.lit(r["limit"]))]) if limits.count() else F.create_map(F.lit(""), F.lit(0.0))
+    pairs = [x for r in limits.collect() for x in (F.lit(r["lang"]), F.lit(r["limit"]))]  # one row a language
+    limit = F.create_map(*(pairs or [F.lit(""), F.lit(0.0)]))
     return scored.select(
         "doc_id",
         "held_out",

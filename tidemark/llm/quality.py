@@ -160,7 +160,8 @@ def _parts(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBatc
 
 
 def _views_of(views: Views, part: pa.RecordBatch) -> list[np.ndarray]:
-    return list(views(*(part.column(c).to_pylist() for c in ("text", "lang", "source"))))
+    named = set(part.schema.names)
+    return list(views(*(part.column(c).to_pylist() if c in named else [None] * part.num_rows for c in ("text", "lang", "source"))))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
