@@ -2,9 +2,10 @@
 
 Each document is the set of its 5-word shingles. Documents with equal sets form a class. Independent trees branch the
 classes: a node selects one minwise token, or two, so that on average 1 / similarity branches leave it, and hands each
-class on to the child named by its token. Nodes of few classes are compared exhaustively on sketches; nodes that stay
-large after all levels hold near-copies of each other and are compared with a leader first and, once components are
-known, exhaustively between whatever is still unlinked. Every link is confirmed on the full sets, read again from the
+class on to the child named by its token. Nodes of few classes are compared exhaustively on sketches. A large node that
+keeps the share of its parent that near-copies of one text would keep, or is large after all levels, is split no
+further: its classes are compared with a leader first and, once components are known, exhaustively between whatever is
+still unlinked. Every link is confirmed on the full sets, read again from the
 texts of the documents concerned. Components come from alternating stars.
 
 The first wave confirms the best earlier partner of each class, which already joins most groups. The second wave
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import bounded_batches, staged
 
 WORDS = 5
 #: Levels at which a large node branches, and the classes of a node that is compared exhaustively.
@@ -32,7 +34,7 @@ DEPTH, SMALL = 8, 64
 #: Minwise tokens of each tree.
 TOKENS = 8
 #: Classes of a share of a node that stays large, and of the unlinked ones it is compared with.
-SHARE, CHUNK = 4096, 256
+SHARE, CHUNK = 4096, 1024
 #: Bits of the filter that selects documents to be read again; a full filter costs time, never results.
 FILTER_BITS = 1 << 25
 
@@ -393,6 +395,7 @@ def near_dedup(
     repeat a doc_id with its text belong together. An empty table gives an empty result. ``recall`` is the chance to
     meet a pair at exactly the threshold; more similar pairs are met more surely.
     """
+    bounded_batches(docs.sparkSession)
     similarity = percent / 100
     trees = trees_for(recall, similarity)
     tokens = trees * TOKENS
@@ -414,26 +417,27 @@ def near_dedup(
 
         second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < F.lit(int(1000 * (1 / similarity - 1)))
         named = F.when(second, F.array(child(0), child(1))).otherwise(F.array(child(0)))
-        return rows.select("cls", "tree", F.explode(named).alias("node"))
+        return rows.select("cls", "tree", F.col("size").alias("above"), F.explode(named).alias("node"))
 
     root = classes.select("cls", "sign", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = children(root.withColumn("node", F.xxhash64("tree")), 0)
+    rows = children(root.withColumns({"node": F.xxhash64("tree"), "size": F.lit(None).cast("long")}), 0)
     leaves: list[DataFrame] = []
-    large = None
+    stays: list[DataFrame] = []
+    # of near-copies of one text, each keeps its child with at least the threshold as chance; its square allows for the spread
+    unsplit = F.coalesce(F.col("size") >= F.lit(similarity**2) * F.col("above"), F.lit(False))
     for level in range(1, depth + 1):
         rows = staged(rows, "nodes")
         sizes = staged(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         sized = rows.join(sizes, "node")
         leaves.append(sized.where(F.col("size") <= small).select("node", "cls"))
-        large = staged(sized.where(F.col("size") > small).select("node", "tree", "cls"), "large")
-        if level == depth or large.isEmpty():
+        large = staged(sized.where(F.col("size") > small).select("node", "tree", "cls", "size", unsplit.alias("unsplit")), "large")
+        stays.append(large.where("unsplit" if level < depth else "true").select("node", "cls"))
+        split = large.where("NOT unsplit")
+        if level == depth or split.isEmpty():
             break
-        rows = children(large.join(classes.select("cls", "sign"), "cls"), level)
-    leaf = leaves[0]
-    for more in leaves[1:]:
-        leaf = leaf.unionByName(more)
-    leaf = staged(leaf.join(sketches, "cls"), "leaves")
-    large = staged(large.select("node", "cls").join(sketches, "cls"), "large")
+        rows = children(split.join(classes.select("cls", "sign"), "cls"), level)
+    leaf = staged(reduce(DataFrame.unionByName, leaves).join(sketches, "cls"), "leaves")
+    large = staged(reduce(DataFrame.unionByName, stays).join(sketches, "cls"), "large")
     found = "a long, b long, same long"
 
     def compared(every: bool, labels: DataFrame | None) -> DataFrame:
