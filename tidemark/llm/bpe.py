@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import bounded_batches
+
 #: Pre-tokens remembered by a worker, in each of two generations.
 MEMO = 500_000
 #: Unicode White_Space, which tiktoken's \s stands for; fixed values.
@@ -176,6 +178,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str = publ
     A null text counts as empty and has no ids; the hashes are then those of the empty string. Texts are whole at any
     length, rows are independent (repeated rows repeat their result), and other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
     return rows.mapInArrow(_coder(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern, with_ids), schema)

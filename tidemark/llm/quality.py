@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.near_dedup import Shingler
+from tidemark.llm.shared import bounded_batches
 
 #: Most labelled documents to fit on, and most unlabelled ones to exchange labels for; both are chosen by hash of doc_id.
 LABELLED, POOL = 4000, 4000
@@ -199,6 +200,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> tuple[CoTrained | None, bool]:
     """The model, or None and what all labels say where only one kind is known (good where nothing is)."""
+    bounded_batches(docs.sparkSession)
     rows = _plain(docs)
     by_hash = (F.xxhash64("doc_id"), F.col("doc_id"))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("good"))

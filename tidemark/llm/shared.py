@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import shared_root, staged
 
-__all__ = ["shared_root", "staged", "table", "text_or_empty"]
+__all__ = ["bounded_batches", "shared_root", "staged", "table", "text_or_empty"]
+
+#: Bytes of an Arrow batch between JVM and Python; longer single texts still travel whole.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ``BATCH_BYTES``, so that Python workers stay small beside the JVM.
+
+    Lazy results need the setting when they run, so it stays set.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import bounded_batches, staged
 
 #: Equal payloads below this many bytes are all stored.
 REVISIT_BYTES = 100
@@ -172,6 +172,7 @@ def write_bundles(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataF
     response and the others revisit it; all other records are responses. Rows that repeat the responding page_id with
     its payload are responses too; a row without page_id only revisits. Other columns are not read.
     """
+    bounded_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
