@@ -75,3 +75,10 @@ def test_masking_takes_effect(spark):
     assert got[1].text == "é [SECRET] end [SECRET]" and got[1].n_chars == len(got[1].text)
     assert got[2].text == "clean text"
     assert secrets.scan_secrets(secrets.mask_secrets(docs)).agg(F.sum("n_assign")).first()[0] == 0
+
+
+def test_masking_repeated_rows_and_rows_without_id(spark):
+    rows = [(None, "token=abcdef", "en", "s", 12), (None, "token=abcdeg x", "en", "s", 14), (1, "token=abcdef", "en", "s", 12), (1, "token=abcdef", "en", "s", 12), (2, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", places int")
+    got = secrets.mask_secrets(docs).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.n_chars or 0, r.places) for r in got) == [(0, "[SECRET]", 8, 1), (0, "[SECRET] x", 10, 1), (1, "[SECRET]", 8, 1), (1, "[SECRET]", 8, 1), (2, "", 0, 1)]

@@ -88,7 +88,10 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops. doc_id must be unique here, as in ``documents``."""
+    """``docs`` without the rows that :func:`exact_dedup` drops; rows without doc_id can't be told apart and stay.
+
+    doc_id must name one text, as in ``documents``.
+    """
     dropped = exact_dedup(docs, counters).where(~F.col("kept")).select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 

@@ -57,23 +57,13 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, wide: int = WIDE) -> DataFrame:
-    """One row per document.
-
-    ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_examples, places``. ``n_live`` counts spans
-    whose value one owner holds, ``n_examples`` those whose value at least ``wide`` owners hold; ``places`` is the array
-    of all spans (start, kind number, stop, hash of the value). Owner and repository default to ``source`` and to
-    ``source/lang``; where they are null the row counts as an owner named by the empty string. A null text counts as
-    empty: it has no spans, and ``base_sha256`` is that of the empty string. Repeated rows each get their result; they
-    add no owners. An empty table gives an empty result.
-    """
+def _owners(docs: DataFrame) -> tuple[Column, Column]:
     source, lang = (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("source", "lang"))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        F.coalesce(owner, F.lit("")).alias("owner") if owner is not None else source.alias("owner"),
-        F.coalesce(repository, F.lit("")).alias("repository") if repository is not None else F.concat_ws("/", source, lang).alias("repository"),
-    )
+    return source, F.concat_ws("/", source, lang)
+
+
+def _judged(rows: DataFrame, wide: int) -> DataFrame:
+    """Rows (id, text, owner, repository) as ``id, base, places, n_live, n_examples``."""
     text = F.col("text")
     base = F.array_sort(F.concat(found_spans(text, ASSIGN, 0, group=2), found_spans(text, ACCESS, 1), found_spans(text, HEX, 2)))
     long_tokens = found_spans(text, LONG_TOKEN, 3)
@@ -82,7 +72,7 @@ def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
     found = staged(
         rows.withColumn("base", base)
         .withColumn("more", F.filter(long_tokens, lambda s: mixed(s) & ~inside(s, F.col("base"))))
-        .select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", "base", "more"),
+        .select(F.monotonically_increasing_id().alias("row"), "id", "owner", "repository", "base", "more"),
         "secrets",
     )
     candidates = found.where((F.size("base") > 0) | (F.size("more") > 0)).select("row", "owner", "repository", F.explode(F.concat("base", "more")).alias("span"))
@@ -97,18 +87,39 @@ def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Colum
         F.count_if(stays & (F.col("n_owners") == 1)).alias("n_live"),
         F.count_if(stays & (F.col("n_owners") >= wide)).alias("n_examples"),
     )
-    everything = found.join(verdicts, "row", "left").withColumn("places", F.array_sort(F.concat("base", F.coalesce("owned", F.array().cast(f"array<{SPAN}>")))))
+    zero = F.lit(0).cast("long")
+    places = F.array_sort(F.concat("base", F.coalesce("owned", F.array().cast(f"array<{SPAN}>"))))
+    return found.join(verdicts, "row", "left").select("id", "base", places.alias("places"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_examples", zero).alias("n_examples"))
+
+
+def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, wide: int = WIDE) -> DataFrame:
+    """One row per document.
+
+    ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_examples, places``. ``n_live`` counts spans
+    whose value one owner holds, ``n_examples`` those whose value at least ``wide`` owners hold; ``places`` is the array
+    of all spans (start, kind number, stop, hash of the value). Owner and repository default to ``source`` and to
+    ``source/lang``; where they are null the row counts as an owner named by the empty string. A null text counts as
+    empty: it has no spans, and ``base_sha256`` is that of the empty string. Repeated rows each get their result; they
+    add no owners. An empty table gives an empty result.
+    """
+    by_source, by_section = _owners(docs)
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        (by_source if owner is None else F.coalesce(owner.cast("string"), F.lit(""))).alias("owner"),
+        (by_section if repository is None else F.coalesce(repository.cast("string"), F.lit(""))).alias("repository"),
+    )
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return everything.select(
-        "doc_id",
+    return _judged(rows, wide).select(
+        F.col("id").alias("doc_id"),
         count(0).alias("n_assign"),
         count(1).alias("n_access"),
         count(2).alias("n_hex"),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.col("places")).alias("spans"),
         (F.size("places") - F.size("base")).cast("long").alias("n_owned"),
-        F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"),
-        F.coalesce("n_examples", F.lit(0).cast("long")).alias("n_examples"),
+        "n_live",
+        "n_examples",
         "places",
     )
 
@@ -126,12 +137,20 @@ def masked(text: Column, places: Column, mask: str = MASK) -> Column:
 
 
 def mask_secrets(docs: DataFrame, wide: int = WIDE) -> DataFrame:
-    """``docs`` with all secrets masked and ``n_chars`` brought up to date; doc_id must be unique, as in ``documents``."""
-    places = scan_secrets(docs, wide=wide).where(F.size("places") > 0).select("doc_id", "places")
-    new = F.when(F.col("places").isNotNull(), masked(F.col("text"), F.col("places"))).otherwise(F.col("text"))
-    out = docs.join(staged(places, "places"), "doc_id", "left").withColumn("text", new)
+    """``docs`` with all secrets masked and ``n_chars``, if there, brought up to date.
+
+    Spans are a matter of the text alone once ownership is counted, so they are brought back by the text's hash: rows
+    without doc_id and repeated rows are masked like any other.
+    """
+    source, section = _owners(docs)
+    key = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    rows = docs.select(key.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), source.alias("owner"), section.alias("repository"))
+    places = staged(_judged(rows, wide).where(F.size("places") > 0).groupBy(F.col("id").alias("_key")).agg(F.first("places").alias("_places")), "places")
+    out = docs.withColumn("_key", key).join(places, "_key", "left")
+    hit = F.col("_places").isNotNull()
+    out = out.withColumn("text", F.when(hit, masked(F.col("text"), F.col("_places"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("places").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
