@@ -38,6 +38,9 @@ SHARE, CHUNK = 4096, 1024
 #: Bits of the filter that selects documents to be read again; a full filter costs time, never results.
 FILTER_BITS = 1 << 25
 
+#: Bytes of a stretch of words that is hashed at once.
+STRETCH = 1 << 20
+
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _u = np.uint64
 
@@ -68,14 +71,22 @@ class Shingler:
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of all texts, repeats included, and how many each text has."""
         data = np.frombuffer(b" ".join(t.lower() for t in texts) + b" ", dtype=np.uint8)
-        if len(data) > len(self.power):
-            self._powers(2 * len(data))
         blank = self.space[data]
         before = np.concatenate([[True], blank[:-1]])
         start = np.flatnonzero(~blank & before)
         end = np.flatnonzero(blank & ~before)
-        total = np.concatenate([np.zeros(1, np.uint64), (self.byte[data] * self.power[: len(data)]).cumsum(dtype=np.uint64)])
-        word = _mix((total[end] - total[start]) * self.back[start])
+        del blank, before
+        word = np.empty(len(start), np.uint64)
+        i = 0
+        while i < len(start):  # a stretch of words at a time, so that a very long text needs no very long tables
+            low = start[i]
+            j = max(i + 1, int(np.searchsorted(start, low + STRETCH)))
+            part = data[low : end[j - 1]]
+            if len(part) > len(self.power):
+                self._powers(len(part))
+            total = np.concatenate([np.zeros(1, np.uint64), (self.byte[part] * self.power[: len(part)]).cumsum(dtype=np.uint64)])
+            word[i:j] = _mix((total[end[i:j] - low] - total[start[i:j] - low]) * self.back[start[i:j] - low])
+            i = j
         edges = np.cumsum([len(t) + 1 for t in texts])
         n_words = np.diff(np.searchsorted(start, edges), prepend=0)
         first = n_words.cumsum() - n_words
