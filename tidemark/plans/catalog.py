@@ -203,7 +203,12 @@ def chunk_semantic_lag(spark, d):
     return chunking.semantic_breaks(v, vector="embedding", key="label", order="vec_id").select("label", "vec_id", "chunk_no")
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+r AS (SELECT label, vec_id, i, x AS total, 1 AS held, CAST(0 AS BIGINT) AS chunk_no FROM v WHERE i = 1
+  UNION ALL SELECT label, vec_id, i, CASE WHEN brk THEN x ELSE list_transform(list_zip(total, x), lambda p: p[1] + p[2]) END, CASE WHEN brk THEN 1 ELSE held + 1 END, chunk_no + CASE WHEN brk THEN 1 ELSE 0 END
+  FROM (SELECT v.*, r.total, r.held, r.chunk_no, r.held >= 12 OR (r.held >= 2 AND list_inner_product(r.total, v.x) / sqrt(list_inner_product(r.total, r.total)) < 0.2) AS brk
+    FROM r JOIN v ON v.label = r.label AND v.i = r.i + 1))
+SELECT label, vec_id, chunk_no FROM r""")
 def semantic_centroid(spark, d):
     v = T.read(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").alias("vector"))
     return chunking.centroid_breaks(v, 0.2, most=12, least=2, key="label", order="vec_id")
@@ -259,7 +264,24 @@ def turn_claims(spark, d):
     return extraction.turn_claims(_turns(spark, d)).select("conversation_id", "turn_index", "mu_id", "claim")
 
 
-@query()
+_SEP = "chr(31)"
+
+
+@query(f"""WITH t AS {_SPOKEN},
+x AS (SELECT *, list(dia_id) OVER w AS dia_ids, list(speaker) OVER w AS s, list(speaker || ': ' || text) OVER w AS lines FROM t WINDOW w AS (PARTITION BY conversation_id ORDER BY turn_index ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+c AS (SELECT {_CHUNK_ID.format(s='window3')} AS chunk_id, list_filter(s, lambda v, i: list_position(s, v) = i) AS speakers, string_split(array_to_string(lines, chr(10)), chr(10)) AS body FROM x),
+l AS (SELECT chunk_id, speakers, unnest(range(len(body))) AS line_no, unnest(body) AS line FROM c),
+h AS (SELECT *, trim(split_part(line, ':', 1)) AS head FROM l WHERE trim(line) <> ''),
+p AS (SELECT chunk_id, speakers, line_no, CASE WHEN peels THEN split_part(head, ' ', 1) END AS named, CASE WHEN peels THEN trim(substr(line, instr(line, ':') + 1)) ELSE line END AS line
+  FROM (SELECT *, contains(line, ':') AND head <> '' AND length(head) <= 80 AS peels FROM h)),
+s AS (SELECT *, unnest(range(len(z))) AS sentence_no, unnest(z) AS sentence FROM (SELECT *, string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || {_SEP}, 'g'), {_SEP}) AS z FROM p)),
+k AS (SELECT *, unnest(range(len(y))) AS clause_no, unnest(y) AS clause FROM (SELECT *, string_split(regexp_replace(sentence, '(?i)\\s+(?:and|but)\\s+(i\\s|my\\s|we\\s)', {_SEP} || '\\1', 'g'), {_SEP}) AS y FROM s)),
+f AS (SELECT chunk_id, speakers, named, line_no, sentence_no, clause_no, substr(claim, 1, 300) AS claim FROM (SELECT *, regexp_replace(trim(clause), '\\.+$', '') AS claim FROM k)
+  WHERE length(claim) >= 10 AND NOT ends_with(claim, '?') AND NOT regexp_matches(claim, {X.quoted(extraction.OPINION_PREFIX)})),
+u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY chunk_id, regexp_replace(lower(claim), '\\s+', ' ', 'g') ORDER BY line_no, sentence_no, clause_no) = 1),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY line_no, sentence_no, clause_no) AS INTEGER) AS fact_no FROM u)
+SELECT chunk_id, fact_no, claim, CASE WHEN {Q.speculative('claim')} THEN CAST(0.35 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence, {Q.topic('claim')} AS topic, {Q.importance('claim')} AS importance,
+  CASE WHEN list_contains(speakers, named) THEN named ELSE array_to_string(speakers, ', ') END AS source_speaker FROM n WHERE fact_no <= 7""")
 def heuristic_facts(spark, d):
     return extraction.extract_facts(chunking.window_chunks(_turns(spark, d))).select("chunk_id", "fact_no", "claim", "confidence", "topic", "importance", "source_speaker")
 
@@ -578,12 +600,23 @@ def rate_window(spark, d):
     return monitoring.rate_window(T.read(spark, d, "events"), 3600, 5)
 
 
-@query()
+_NUMBERED = "e AS (SELECT user_id, event_id, epoch_us(ts) / CAST(1000000 AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_NUMBERED},
+r AS (SELECT user_id, event_id, i, [t] AS taken, true AS accepted FROM e WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, CASE WHEN len(held) < 2 THEN list_append(held, t) ELSE held END, len(held) < 2
+  FROM (SELECT e.*, list_filter(r.taken, lambda x: x > e.t - 3600) AS held FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, event_id, accepted FROM r""")
 def sliding_limiter(spark, d):
     return monitoring.sliding_limiter(T.read(spark, d, "events"), 3600, 2)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NUMBERED},
+r AS (SELECT user_id, event_id, i, t, CAST(2 AS DOUBLE) AS rest, true AS accepted FROM e WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, t, rest - CASE WHEN rest >= 1 THEN 1 ELSE 0 END, rest >= 1
+  FROM (SELECT e.*, least(CAST(3 AS DOUBLE), r.rest + (e.t - r.t) * (CAST(1 AS DOUBLE) / 3600)) AS rest FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT user_id, event_id, accepted FROM r""")
 def token_bucket(spark, d):
     return monitoring.token_bucket(T.read(spark, d, "events"), 1 / 3600, 3)
 
