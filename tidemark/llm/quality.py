@@ -148,7 +148,7 @@ class CoTrained:
         return single[0], single[1], _sigmoid(self.joint.logit(np.column_stack(logits)))
 
 
-def _parts(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about ``size`` characters."""
     at, held = 0, 0
     for i, t in enumerate(batch.column("text")):
