@@ -8,7 +8,7 @@ further: its classes are compared with a leader first and, once components are k
 still unlinked. Every link is confirmed on the full sets, read again from the
 texts of the documents concerned. Components come from alternating stars.
 
-The first wave confirms the best earlier partner of each class, which already joins most groups. The second wave
+The first wave confirms one likely earlier partner of each class, which already joins most groups. The second wave
 brings the sets of classes that still have a candidate in another component into their nodes and confirms every such
 candidate there, so none goes unchecked and only links that join components leave a node: no pairs are ever spelt out.
 """
@@ -173,11 +173,11 @@ def _sketches(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
-def _comparer(width: int, least: int, percent: int, every: bool):
+def _comparer(width: int, least: int, sure: int, percent: int, every: bool):
     """Compares the classes of each node; rows come sorted by node and class.
 
-    ``every``: node and class (as a, b) of all that have a candidate of another label; else the best earlier candidate
-    of each class.
+    ``every``: node and class (as a, b) of all that have a candidate of another label; else one earlier candidate of
+    each class: the smallest that agrees in ``sure`` tokens, so that groups gather around one class, or the best.
     """
 
     def pairs(t: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -199,6 +199,7 @@ def _comparer(width: int, least: int, percent: int, every: bool):
             if every:
                 open_[a] = open_[b] = True
             else:  # later offsets reach smaller classes, which win ties
+                same = np.minimum(same, sure)
                 better = same >= best[b]
                 best[b[better]], partner[b[better]] = same[better], a[better]
         if every:
@@ -411,6 +412,7 @@ def near_dedup(
     trees = trees_for(recall, similarity)
     tokens = trees * TOKENS
     least = math.floor(tokens * (similarity - 4.2 * math.sqrt(similarity * (1 - similarity) / tokens)))
+    sure = math.ceil(tokens * (similarity + math.sqrt(similarity * (1 - similarity) / tokens)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = staged(docs.mapInArrow(_signer(tokens, words), "doc_id long, n_shingles long, digest binary, sign array<int>"), "signed")
     usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -454,9 +456,9 @@ def near_dedup(
     def compared(every: bool, labels: DataFrame | None) -> DataFrame:
         with_label = leaf.withColumn("label", F.col("cls")) if labels is None else _labelled(leaf, labels)
         by_node = with_label.select("node", "cls", "n", "label", "sketch").repartition("node").sortWithinPartitions("node", "cls")
-        return by_node.mapInArrow(_comparer(tokens, least, percent, every), found)
+        return by_node.mapInArrow(_comparer(tokens, least, sure, percent, every), found)
 
-    # first wave: each class with its best smaller partner in any small node, or the leader of a large one
+    # first wave: each class with one likely smaller partner in any small node, or the leader of a large one
     leader = staged(large.groupBy("node").agg(F.min_by(F.struct("cls", "n", "sketch"), F.xxhash64("node", "cls")).alias("of")), "leaders")
     led = large.join(leader, "node").where(
         (F.col("cls") != F.col("of.cls")) & (F.lit(100) * F.least("n", F.col("of.n")) >= F.lit(percent) * F.greatest("n", F.col("of.n")))
