@@ -107,6 +107,18 @@ def test_knn_without_rows_and_beyond_doubles(spark):
     assert got == {(1, (768_000_000) ** 2 + 256 * 512), (2, (768_000_000) ** 2 + 256 * 768)}
 
 
+def test_knn_of_a_repeated_query_id(spark):
+    axis = lambda *at: [float(i in at) for i in range(8)]
+    # id 0 fills its own buckets with copies, id 10 lies in two places, id 20 is single in the cell of id 0
+    rows = [(0, axis(0))] * 64 + [(i, axis(i)) for i in range(1, 6)] + [(10, axis(6))] * 9 + [(10, axis(7))] * 9 + [(20, axis(0))]
+    got = knn.voronoi_knn(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, k=5, pivots=8).collect()
+    expected = set()
+    for own, q in ((0, axis(0)), (10, axis(7)), (20, axis(0))):
+        scored = sorted((-65536 * sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != own)[:5]
+        expected |= {(own, n + 1, j, int(-s)) for n, (s, j) in enumerate(scored)}
+    assert {(x.query_id, x.rank, x.vec_id, x.score) for x in got} == expected and len(got) == 15
+
+
 # ---- archives
 def test_archives(spark):
     rows = [(1, "http://a/x y\r\nEvil: 1", "p" * 200), (2, None, "p" * 200), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", "é\r\n\r\nWARC/1.1\r\n" * 9), (0, "u", "é\r\n\r\nWARC/1.1\r\n" * 9), (7, "u", "z" * 600_000)]

@@ -83,15 +83,26 @@ def make_pivots(sample: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
     return centres
 
 
-def group_bounds(pivots: np.ndarray, hist: pd.DataFrame, q_stats: pd.DataFrame, width: float, k: int) -> dict[int, np.ndarray]:
-    """For each query cell, the closed interval of pivot distances a row of each data cell needs to be an answer."""
+def group_bounds(pivots: np.ndarray, hist: pd.DataFrame, q_stats: pd.DataFrame, width: float, k: int, own: pd.DataFrame) -> dict[int, np.ndarray]:
+    """For each query cell, the closed interval of pivot distances a row of each data cell needs to be an answer.
+
+    ``own`` has the rows of repeated query ids, which are no candidates of their query: ``q_cell, cell, bucket``, the most
+    rows ``n`` that one id has in that bucket, and the most rows ``total`` that an id found there has in all.
+    """
     out = {}
+    repeated = {c: g for c, g in own.groupby("q_cell")}
     for q in q_stats.itertuples():
         apart = np.linalg.norm(pivots - pivots[int(q.q_cell)], axis=1)
         radius = q.radius
         reach = radius + apart[hist["cell"].to_numpy()] + (hist["bucket"].to_numpy() + 1) * width
         order = reach.argsort()
-        enough = np.searchsorted(hist["n"].to_numpy()[order].cumsum(), k + 1)  # one row may be the query's own
+        n = hist["n"].to_numpy()
+        others = n[order].cumsum() - 1  # one row is the query's own
+        if int(q.q_cell) in repeated:  # or several are: those of an id in all, or those of any id in each bucket
+            mine = repeated[int(q.q_cell)]
+            taken = hist[["cell", "bucket"]].merge(mine[["cell", "bucket", "n"]], "left", ["cell", "bucket"])["n"].fillna(0).to_numpy()
+            others = np.maximum(n[order].cumsum() - mine["total"].max(), (n - taken)[order].cumsum() - 1)
+        enough = np.searchsorted(others, k)
         theta = reach[order[enough]] if enough < len(order) else np.inf
         slack = 1e-6 * (1 + apart + radius)
         out[int(q.q_cell)] = np.stack([apart - radius - theta - slack, apart + radius + theta + slack], 1)
@@ -168,11 +179,16 @@ def voronoi_knn(
     queries = staged(cells.where("is_query").withColumn("_n", F.row_number().over(one)).where("_n = 1").select("id", "vec", "q_cell", "q_dist"), "queries")
 
     step = max(2 * np.sqrt(m2) / BUCKETS, 1e-9)
-    hist = cells.groupBy("cell", F.floor(F.col("dist") / F.lit(float(step))).cast("int").alias("bucket")).agg(F.count("*").alias("n")).toPandas()
+    bucket = F.floor(F.col("dist") / F.lit(float(step))).cast("int").alias("bucket")
+    hist = cells.groupBy("cell", bucket).agg(F.count("*").alias("n")).toPandas()
     q_stats = queries.groupBy("q_cell").agg(F.max("q_dist").alias("radius"), F.count("*").alias("n")).toPandas().sort_values("q_cell")
     if not len(q_stats):
         return empty
-    bounds = group_bounds(centres, hist, q_stats, step, k)
+    held = staged(cells.where("is_query").groupBy("id", "cell", bucket).agg(F.count("*").alias("n")), "held")
+    totals = held.groupBy("id").agg(F.sum("n").alias("total")).where("total > 1")
+    # at most pivots x pivots x buckets rows
+    own = held.join(totals, "id").join(queries.select("id", "q_cell"), "id").groupBy("q_cell", "cell", "bucket").agg(F.max("n").alias("n"), F.max("total").alias("total")).toPandas()
+    bounds = group_bounds(centres, hist, q_stats, step, k, own)
 
     # neighbouring small query cells share a group; a large one has a group, and blocks, of its own
     groups: list[list[int]] = []
