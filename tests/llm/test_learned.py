@@ -66,6 +66,32 @@ def test_languages_of_odd_rows(spark):
     assert [r.lang_pred for r in none] == ["und"] and langid.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_every_gram_of_a_large_language_counts(spark, monkeypatch):
+    # more 4-grams than the 2^18 a language once had: each text has its own four letters of an alphabet of thousands
+    r = np.random.default_rng(5)
+    texts = ["".join(chr(int(c)) for c in r.integers(0x4E00, 0x9FA5, 4000)) for _ in range(90)]
+    rows = spark.createDataFrame([(t, "zh") for t in texts], "text string, lang string")
+    expected = Counter(np.concatenate([langid.Grams()([t])[0] for t in texts]).view(np.int64).tolist())
+    got = langid.count_grams(rows).agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).first()
+    assert len(expected) > 1 << 18 and (got["kinds"], got["all"]) == (len(expected), sum(expected.values()))
+    seen, models = [], langid.Models
+    monkeypatch.setattr(langid, "Models", lambda counts: seen.append(len(counts)) or models(counts))
+    docs = spark.createDataFrame([(i, t, "zh", "s", 0) for i, t in enumerate(texts * 2)], DOCS)
+    assert langid.identify(docs).where("lang_pred = 'zh'").count() == 180 and seen[0] > 1 << 18
+
+
+def test_joined_models_give_the_costs_of_held_ones(spark):
+    odd = [(-1, None, None, "s", 0), (-2, "123", "en", "s", 0), (-3, "漢字 и ещё", None, "s", 0), (None, "le chat", "fr", "s", 0)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(odd, DOCS))
+    whole = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for held in (0, 200_000):  # no gram in memory, and a part of them
+        got = langid.identify(docs, held=held).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            w = whole[r.doc_id]
+            assert r.lang_pred == w.lang_pred and abs((r.cross_entropy or 0) - (w.cross_entropy or 0)) < 1e-4 and abs(r.score - w.score) < 1e-3
+
+
 # ---- quality
 def test_quality_accuracy(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

@@ -1,10 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model of character 4-grams a language, from all training texts: partitions count distinct 4-grams, one aggregation
-adds them up. The lower orders are Kneser-Ney continuation counts of the order above. Models are stored as arrays of
-64-bit gram hashes in sorted order with a radix index over their leading bits; one row of log-probabilities holds all
-languages. A text gets the language with the lowest cross-entropy a character. The confidence and the limit of
-rejection are calibrated on the training documents.
+adds them up, and every counted gram is kept. The lower orders are Kneser-Ney continuation counts of the order above.
+Models are stored as arrays of 64-bit gram hashes in sorted order with a radix index over their leading bits; one row of
+log-probabilities holds all languages. Models too large for a task's memory stay tables of the shared folder: tasks hold
+the log-probabilities of the most frequent grams, joins find those of all others. A text gets the language with the
+lowest cross-entropy a character. The confidence and the limit of rejection are calibrated on the training documents.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import bounded_batches, staged
 
 ORDER = 4
-#: Slots of a language's 4-grams: the most frequent gram of a slot is kept, so a model has a size bound at any input.
-SLOTS = 1 << 18
+#: Counted grams times languages up to which tasks hold whole models; of larger ones they hold a quarter as many numbers.
+HELD = 1 << 23
 #: Quantile of the training documents' cross-entropy beyond which a text is called foreign to all languages.
 REJECT = 0.999
 DISCOUNT = 0.75
@@ -245,23 +246,126 @@ def _score(models: Models):
     return run
 
 
-def train(rows: DataFrame, slots: int = SLOTS) -> Models | None:
-    """Models from all rows (text, lang); None if there is nothing to learn from."""
-    counts = rows.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    slot = F.pmod(F.xxhash64("gram"), F.lit(slots))
-    kept = counts.groupBy("lang", slot.alias("slot")).agg(F.max(F.struct("n", "gram")).alias("top")).select("lang", "top.n", "top.gram")
-    table = kept.toPandas()
-    return Models(table) if len(table) else None
+def count_grams(rows: DataFrame) -> DataFrame:
+    """All 4-grams of all rows (text, lang): ``lang, gram, n``."""
+    return rows.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def identify(docs: DataFrame, slots: int = SLOTS, reject: float = REJECT) -> DataFrame:
+def _tail(gram: Column, k: int) -> Column:
+    """The last k units of packed grams, as ``_low``."""
+    return gram.bitwiseAND(F.lit((1 << (16 * k)) - 1)) if k < 4 else gram
+
+
+def _by_language(size: int, name: str, missing: float) -> Column:
+    """Collects ``name`` of each language number ``i`` as an array."""
+    return F.aggregate(F.collect_list(F.struct("i", F.col(name).alias("x"))), F.array_repeat(F.lit(missing), size), lambda a, e: F.transform(a, lambda x, j: F.when(j == e["i"], e["x"]).otherwise(x)))
+
+
+class Tables:
+    """The models of ``Models`` as tables: of each order ``gram, logp`` and ``context, log_rest``, arrays over the languages."""
+
+    def __init__(self, counts: DataFrame, langs: list[str]):
+        size = len(langs)
+        at = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
+        level = {ORDER: counts.select(at.cast("int").alias("i"), "gram", F.col("n").cast("double").alias("w"))}
+        for k in range(ORDER - 1, 0, -1):
+            level[k] = staged(level[k + 1].groupBy("i", _tail(F.col("gram"), k).alias("gram")).agg(F.count("*").cast("double").alias("w")), f"order{k}")
+        self.floor = float(-np.log(level[1].select("gram").distinct().count() + 1))
+        self.grams: dict[int, DataFrame] = {}
+        self.contexts: dict[int, DataFrame] = {}
+        below = counts.sparkSession.range(1).select(F.col("id").alias("low"), F.array_repeat(F.lit(self.floor), size).alias("lower"))
+        for k in range(1, ORDER + 1):
+            before = F.shiftrightunsigned("gram", 16)
+            each = level[k].groupBy("i", before.alias("context")).agg(F.sum("w").alias("total"), F.count("*").alias("kinds"))
+            each = each.withColumn("log_rest", F.log(F.lit(DISCOUNT) * F.col("kinds") / F.col("total")))
+            context = staged(each.groupBy("context").agg(_by_language(size, "total", 1.0).alias("total"), _by_language(size, "log_rest", 0.0).alias("log_rest")), f"contexts{k}")
+            self.contexts[k] = context.select("context", "log_rest")
+            wide = level[k].groupBy("gram").agg(_by_language(size, "w", 0.0).alias("w"), F.sum("w").alias("n"))
+            wide = wide.withColumns({"context": before, "low": _tail(F.col("gram"), k - 1)}).join(context, "context").join(below, "low")
+            logp = F.transform(F.arrays_zip("w", "total", "log_rest", "lower"), lambda x: F.log(F.greatest(x["w"] - DISCOUNT, F.lit(0.0)) / x["total"] + F.exp(x["log_rest"] + x["lower"])))
+            self.grams[k] = staged(wide.select("gram", "n", logp.alias("logp")), f"grams{k}")
+            below = self.grams[k].select(F.col("gram").alias("low"), F.col("logp").alias("lower"))
+        self.size = size
+
+    def most_frequent(self, most: int) -> Table:
+        """At most so many grams of the highest order, by whole powers of two of their counts."""
+        power = F.floor(F.log2("n"))
+        held, least = 0, 64
+        for r in self.grams[ORDER].groupBy(power.alias("power")).agg(F.count("*").alias("n")).orderBy(F.desc("power")).collect():
+            held += r["n"]
+            if held > most:
+                break
+            least = r["power"]
+        rows = self.grams[ORDER].where(power >= least).select("gram", *[F.get("logp", F.lit(i)).cast("float").alias(f"l{i}") for i in range(self.size)]).toArrow()
+        return Table(rows["gram"].to_numpy().view(np.uint64), np.column_stack([rows[f"l{i}"].to_numpy() for i in range(self.size)]))
+
+    def log_prob(self, asked: DataFrame) -> DataFrame:
+        """``gram, logp`` of the distinct ``gram`` of ``asked``, known or not."""
+        none = F.array_repeat(F.lit(0.0), self.size)
+        add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+        left, found = asked.select("gram", F.col("gram").alias("code"), none.alias("so_far")), []
+        for k in range(ORDER, 0, -1):
+            known = self.grams[k].select(F.col("gram").alias("code"), "logp")
+            looked = staged(left.join(known, "code", "left"), "looked")
+            found.append(looked.where("logp IS NOT NULL").select("gram", add(F.col("so_far"), F.col("logp")).alias("logp")))
+            missed = looked.where("logp IS NULL").withColumn("context", F.shiftrightunsigned("code", 16)).join(self.contexts[k], "context", "left")
+            left = missed.select("gram", _tail(F.col("code"), k - 1).alias("code"), add(F.col("so_far"), F.coalesce("log_rest", none)).alias("so_far"))
+        out = left.select("gram", F.transform("so_far", lambda x: x + F.lit(self.floor)).alias("logp"))
+        for part in found:
+            out = out.unionByName(part)
+        return out
+
+
+def _score_held(table: Table):
+    """Log-probabilities of a text's held grams, added up, and its other grams with how often each comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        for batch in batches:
+            for span, texts in _texts(batch):
+                codes, counts = grams(texts)
+                at = table.find(codes)
+                of = np.repeat(np.arange(len(texts)), counts)
+                sums = np.zeros((len(texts), table.values.shape[1]))
+                has = counts > 0
+                if has.any():
+                    rows = np.zeros((len(codes), table.values.shape[1]), np.float32)
+                    rows[at >= 0] = table.values[at[at >= 0]]
+                    sums[has] = np.add.reduceat(rows, (counts.cumsum() - counts)[has], axis=0, dtype=np.float64)
+                others, others_n = [], []
+                missed, ends = codes[at < 0], np.bincount(of[at < 0], minlength=len(texts)).cumsum()
+                for part in np.split(missed, ends[:-1]):
+                    unique, n = np.unique(part, return_counts=True)
+                    others.append(unique.view(np.int64))
+                    others_n.append(n)
+                part = batch.slice(span.start, len(texts))
+                columns = [part.column(c) for c in ("row", "doc_id", "lang", "held_out")]
+                columns += [pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(counts.astype(np.int64)), pa.array(others, pa.list_(pa.int64())), pa.array(others_n, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "lang", "held_out", "sums", "n", "others", "others_n"])
+
+    return run
+
+
+def _costs_by_join(rows: DataFrame, tables: Tables, most: int) -> DataFrame:
+    schema = "row long, doc_id long, lang string, held_out boolean, sums array<double>, n long, others array<long>, others_n array<long>"
+    read = staged(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score_held(tables.most_frequent(most)), schema), "read")
+    others = read.select("row", F.explode(F.arrays_zip("others", "others_n")).alias("x")).select("row", F.col("x.others").alias("gram"), F.col("x.others_n").alias("times"))
+    logp = staged(tables.log_prob(others.select("gram").distinct()), "others")
+    found = others.join(logp, "gram").groupBy("row").agg(F.array(*[F.sum(F.get("logp", F.lit(i)) * F.col("times")) for i in range(tables.size)]).alias("more"))
+    total = F.when(F.col("more").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "more", lambda x, y: x + y))
+    cost = F.when(F.col("n") > 0, F.transform(total, lambda x: -x / F.col("n")))
+    return read.drop("others", "others_n").join(found, "row", "left").select("doc_id", "lang", "held_out", cost.alias("costs"))
+
+
+def identify(docs: DataFrame, held: int = HELD, reject: float = REJECT) -> DataFrame:
     """One row per document: ``doc_id, held_out, lang_pred, score, accepted, cross_entropy``.
 
     Models learn from text and lang of rows with a language whose crc32(doc_id as text) mod 3 is not 1; rows without
     doc_id are neither learnt from nor held out. ``lang_pred`` is ``und``, with score 0, where the text is null or has no
     letter, and everywhere if nothing can be learnt; else the language with the lowest cross-entropy, the first by name
     of equal ones, at any length of text. ``score`` is its calibrated share from 0 to 1; ``accepted`` is false where the
-    cross-entropy lies beyond the ``reject`` quantile of training documents of that language.
+    cross-entropy lies beyond the ``reject`` quantile of training documents of that language. ``held`` bounds the memory
+    of a task, not the models.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(
@@ -271,11 +375,17 @@ def identify(docs: DataFrame, slots: int = SLOTS, reject: float = REJECT) -> Dat
         F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"),
     )
     taught = ~F.col("held_out") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
-    models = train(rows.where(taught & F.col("text").isNotNull()), slots)
-    if models is None:
+    counts = staged(count_grams(rows.where(taught & F.col("text").isNotNull())), "counts")
+    sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}  # one row a language
+    langs = sorted(sizes)
+    if not langs:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"), F.lit(None).cast("double").alias("cross_entropy"))
-    costs = staged(rows.mapInArrow(_score(models), "doc_id long, lang string, held_out boolean, costs array<double>"), "costs")
-    names = F.array(*[F.lit(x) for x in models.langs])
+    if sum(sizes.values()) * len(langs) <= held:
+        found = rows.mapInArrow(_score(Models(counts.toPandas())), "doc_id long, lang string, held_out boolean, costs array<double>")
+    else:
+        found = _costs_by_join(rows, Tables(counts, langs), held // 4 // len(langs))
+    costs = staged(found, "costs")
+    names = F.array(*[F.lit(x) for x in langs])
     least = F.array_min("costs")
     scored = costs.withColumn("lang_pred", F.coalesce(F.get(names, (F.array_position("costs", least) - 1).cast("int")), F.lit(UNKNOWN))).withColumn("cross_entropy", least)
 
