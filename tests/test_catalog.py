@@ -46,3 +46,13 @@ def test_against_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_the_others_run(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_turns_are_compared_and_ranked(spark):
+    turns = {(str(r.conv_id), f"{r.conv_id}:{r.turn}") for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    fixture = {(c[1], c[0]) for c in catalog.X.CLAIMS}
+    ranked = {(r.conversation_id, r.mu_id) for r in catalog.QUERIES["betweenness_centrality"](spark, SF).collect()}
+    assert ranked == turns | fixture
+    pairs = catalog.QUERIES["turn_relationships"](spark, SF).collect()
+    expected = sum(c[0] == other[0] for every in (turns, fixture) for c in every for other in every if c[1] < other[1])
+    assert len(pairs) == expected

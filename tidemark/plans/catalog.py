@@ -287,8 +287,9 @@ def heuristic_facts(spark, d):
 
 
 # ---- relations -------------------------------------------------------------------------------------------------------
-_REL = f"""d AS (SELECT *, {Q.claim_tokens('claim')} AS w, {Q.topic('claim')} AS topic, list_transform({Q.entities('claim')}, lambda x: lower(x)) AS ents, {Q.matches('claim', C.NEGATION_RE)} AS neg,
-  {Q.matches('claim', C.UPDATE_RE)} AS upd, {Q.matches('claim', C.TEMPORAL_RE)} AS tmp FROM {X.claims_sql()}),
+def _rel(said: str) -> str:
+    return f"""d AS (SELECT *, {Q.claim_tokens('claim')} AS w, {Q.topic('claim')} AS topic, list_transform({Q.entities('claim')}, lambda x: lower(x)) AS ents, {Q.matches('claim', C.NEGATION_RE)} AS neg,
+  {Q.matches('claim', C.UPDATE_RE)} AS upd, {Q.matches('claim', C.TEMPORAL_RE)} AS tmp FROM {said}),
 p AS (SELECT a.conversation_id, a.mu_id AS mu_a_id, b.mu_id AS mu_b_id, {Q.jaccard('a.w', 'b.w')} AS j, a.topic AS ta, a.topic = b.topic AND a.topic <> 'general' AS same, b.upd, b.tmp, b.neg, b.neg AND NOT a.neg AS turn,
   len(a.ents) > 0 AND len(b.ents) > 0 AND len(list_intersect(a.ents, b.ents)) = 0 AS apart FROM d a JOIN d b ON a.conversation_id = b.conversation_id AND a.seq < b.seq),
 n AS (SELECT *, CASE WHEN turn AND j >= 0.25 THEN CAST(0.85 AS DOUBLE) WHEN j >= 0.6 THEN CAST(0.05 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS con,
@@ -297,6 +298,9 @@ k AS (SELECT *, CASE WHEN con >= 0.7 AND neg AND j >= 0.25 THEN 1 WHEN ent >= 0.
   WHEN same AND ta IN ('employment', 'location', 'relationships') AND j < 0.3 AND apart THEN 6 WHEN tmp AND same THEN 7 WHEN same OR j >= 0.1 THEN 8 ELSE 9 END AS rule FROM n),
 c AS (SELECT conversation_id, mu_a_id, mu_b_id, ['contradiction', 'related', 'updated_fact', 'same_fact', 'updated_fact', 'updated_fact', 'temporal_change', 'related', 'unrelated'][rule] AS relationship,
   round(CASE rule WHEN 1 THEN con WHEN 2 THEN ent * 0.5 WHEN 3 THEN ent WHEN 4 THEN ent WHEN 5 THEN 0.75 WHEN 6 THEN CAST(0.68 AS DOUBLE) WHEN 7 THEN 0.7 WHEN 8 THEN greatest(j, CASE WHEN same THEN CAST(0.3 AS DOUBLE) ELSE 0 END) ELSE greatest(0, 1 - j) END, 6) AS confidence FROM k)"""
+
+
+_REL = _rel(X.claims_sql())
 _REL_EDGES = """e AS (SELECT conversation_id, mu_a_id AS source_mu_id, mu_b_id AS target_mu_id, 'superseded_by' AS edge_type, confidence AS weight FROM c WHERE relationship IN ('same_fact', 'updated_fact', 'temporal_change')
   UNION ALL SELECT conversation_id, mu_a_id, mu_b_id, 'conflicts_with', confidence FROM c WHERE relationship = 'contradiction' UNION ALL SELECT conversation_id, mu_b_id, mu_a_id, 'conflicts_with', confidence FROM c WHERE relationship = 'contradiction'
   UNION ALL SELECT conversation_id, mu_a_id, mu_b_id, 'related_to', confidence FROM c WHERE relationship = 'related')"""
@@ -310,6 +314,24 @@ def _resolved(spark):
     return relations.new_edges(relations.edges_for(_compared(spark)))
 
 
+_SAID = f"""(SELECT * FROM {X.claims_sql()} UNION ALL SELECT CAST(conv_id AS VARCHAR) || ':' || turn, CAST(conv_id AS VARCHAR), turn, text,
+  CASE WHEN {Q.speculative('text')} THEN CAST(0.35 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END FROM conversations)"""
+_SAID_REL = _rel(_SAID)
+
+
+def _said(spark, d):
+    """All turns of ``conversations`` as claims, and the sentences of the fixture."""
+    turns = _turns(spark, d).select(
+        F.concat_ws(":", "conversation_id", F.col("turn_index").cast("string")).alias("mu_id"), "conversation_id", F.col("turn_index").alias("seq"), F.col("text").alias("claim"),
+        C.claim_confidence(F.col("text")).alias("confidence"),
+    )
+    return X.claims(spark).unionByName(turns)
+
+
+def _said_edges(spark, d):
+    return relations.new_edges(relations.edges_for(relations.scan_conversations(_said(spark, d))))
+
+
 @query(f"WITH {_REL} SELECT * FROM c")
 def pairwise_relationships(spark, d):
     return _compared(spark)
@@ -332,6 +354,27 @@ def supersession_guard(spark, d):
     return relations.guarded_supersessions(_resolved(spark), X.claims(spark))
 
 
+# the queries above are of the fixture alone; these are of all turns and the fixture
+@query(f"WITH {_SAID_REL} SELECT * FROM c")
+def turn_relationships(spark, d):
+    return relations.scan_conversations(_said(spark, d))
+
+
+@query(f"WITH {_SAID_REL}, {_REL_EDGES} SELECT * FROM e")
+def turn_edges(spark, d):
+    return _said_edges(spark, d).drop("metadata_json")
+
+
+@query(ORACLES["resolver_counters"].replace(_REL, _SAID_REL))
+def turn_counters(spark, d):
+    return relations.counters(relations.scan_conversations(_said(spark, d)))
+
+
+@query(ORACLES["supersession_guard"].replace(_REL, _SAID_REL).replace(X.claims_sql(), _SAID))
+def turn_supersession_guard(spark, d):
+    return relations.guarded_supersessions(_said_edges(spark, d), _said(spark, d))
+
+
 # ---- salience, lifecycle, store --------------------------------------------------------------------------------------
 _UNITS, _EDGES_SQL = Q.event_units(), Q.event_edges()
 _SCORED = f"(SELECT u.*, {Q.salience('penalty')} AS salience FROM {_UNITS} u LEFT JOIN {Q.penalties(_EDGES_SQL)} p USING (mu_id))"
@@ -416,8 +459,7 @@ def degree_centrality(spark, d):
 
 @query()
 def betweenness_centrality(spark, d):
-    units = X.claims(spark)
-    return graph.betweenness(units, _resolved(spark))
+    return graph.betweenness(_said(spark, d), _said_edges(spark, d))
 
 
 # ---- context and grounding -------------------------------------------------------------------------------------------
@@ -429,6 +471,12 @@ def context_sections(spark, d):
     return context.entries(hits.select(F.col("conversation_id").alias("query_id"), "mu_id", F.col("seq").alias("rank"), "is_from_label", "superseded_by", "conflicts_with")).select("query_id", "mu_id", "rank", "section")
 
 
+@query(ORACLES["context_sections"].replace(_REL, _SAID_REL).replace(X.claims_sql(), _SAID))
+def turn_context_sections(spark, d):
+    hits = _said(spark, d).join(fusion.relation_meta(_said_edges(spark, d)), "mu_id", "left").withColumn("is_from_label", F.col("seq") % 7 == 0)
+    return context.entries(hits.select(F.col("conversation_id").alias("query_id"), "mu_id", F.col("seq").alias("rank"), "is_from_label", "superseded_by", "conflicts_with")).select("query_id", "mu_id", "rank", "section")
+
+
 @query(f"""WITH a AS (SELECT *, trim(answer) AS t, len(shown) AS n FROM {X.answers_sql()}), b AS (SELECT *, t = '' OR regexp_matches(t, '(?i)no\\s+information\\s+available') AS is_no_info, list_distinct({Q.retrieval_tokens('t')}) AS mine,
   list_distinct(flatten(list_transform(shown, lambda c: {Q.retrieval_tokens('c')}))) AS ev FROM a),
 c AS (SELECT *, CASE WHEN is_no_info THEN 1.0 WHEN n = 0 THEN 0.0 ELSE round(len(list_intersect(mine, ev)) / CAST(greatest(len(mine), 1) AS DOUBLE), 6) END AS grounding_score FROM b)
@@ -440,6 +488,24 @@ def grounding_verdict(spark, d):
     return context.grounding(a.select("query_id", "answer"), context.evidence(shown)).drop("warnings")
 
 
+_REPLIES = """(SELECT CAST(conv_id AS VARCHAR) || ':' || turn AS query_id, text AS answer,
+  coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS shown, false AS conflicted FROM conversations)"""
+
+
+@query(ORACLES["grounding_verdict"].replace(X.answers_sql(), f"(SELECT * FROM {_REPLIES} UNION ALL SELECT CAST(query_id AS VARCHAR), answer, shown, conflicted FROM {X.answers_sql()})"))
+def turn_grounding(spark, d):
+    """Every turn as an answer, with all turns before it in its conversation shown, and the answers of the fixture."""
+    t = _turns(spark, d)
+    name = F.concat_ws(":", "a.conversation_id", F.col("a.turn_index").cast("string"))
+    before = t.alias("a").join(t.alias("b"), (F.col("a.conversation_id") == F.col("b.conversation_id")) & (F.col("b.turn_index") < F.col("a.turn_index")))
+    a = X.answers(spark).withColumn("query_id", F.col("query_id").cast("string"))
+    said = t.alias("a").select(name.alias("query_id"), F.col("a.text").alias("answer"))
+    shown = before.select(name.alias("query_id"), F.col("b.text").alias("claim"), F.lit("active").alias("section"))
+    of_fixture = a.select("query_id", F.explode("shown").alias("claim"), F.when(F.col("conflicted"), "conflicted").otherwise("active").alias("section"))
+    shown = shown.unionByName(of_fixture).withColumn("label_summary", F.lit(None).cast("string"))
+    return context.grounding(said.unionByName(a.select("query_id", "answer")), context.evidence(shown)).drop("warnings")
+
+
 # ---- evaluation ------------------------------------------------------------------------------------------------------
 @query(f"""WITH p AS (SELECT query_id, rank, doc_id, b.text AS gold, d.text AS answer FROM (WITH {Q.bm25('documents', '(SELECT item_id AS query_id, text FROM benchmark)')} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id FROM s WHERE score > 0) r
   JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id) WHERE rank <= 1), w AS (SELECT query_id, {Q.normal_words('gold')} AS g, {Q.normal_words('answer')} AS a FROM p),
