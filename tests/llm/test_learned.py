@@ -159,3 +159,18 @@ def test_cosines_by_brute_force(spark):
             assert (got[i].own_license, got[i].origin) == (best[1], "own") and abs(got[i].cosine + best[0]) < 2e-6
         else:
             assert got[i].own_license is None
+
+
+def test_licenses_of_whole_texts_and_wrapped_notices(spark):
+    wrap = lambda text, n: "\n".join(" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    notice = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    code = "\n" + "\nimport os\n\ndef f(x):\n    return os.path.join(x, 'name')\n" * 12
+    found = {
+        "a/TERMS": ("Copyright (c) 2020 Jo Doe\n\n" + wrap(licenses.TEXTS["MIT"][0], 9), "MIT"), "b/gpl3.py": ("# " + notice.format(3).replace("\n", "\n# ") + code, "GPL-3.0"), "c/gpl2.c": ("/*\n" + notice.format(2) + "\n*/" + code, "GPL-2.0"),
+        "d/TERMS": (wrap(licenses.TEXTS["BSD-3-Clause"][0], 11), "BSD-3-Clause"), "e/TERMS": (wrap(licenses.TEXTS["ISC"][0], 10), "ISC"), "f/mit.js": (wrap(licenses.TEXTS["MIT"][0], 9) + code, "MIT"),
+    }
+    plain = {"a/x/below.py": code, "b/next.py": code, "g/none.py": "we use the software and the terms of any person\n" + code}
+    rows = [(i, t, p) for i, (p, t) in enumerate([(p, t) for p, (t, _) in found.items()] + list(plain.items()))]
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, path string"), F.col("path")).collect()}
+    assert {p: got[p].own_license for p in found} == {p: name for p, (_, name) in found.items()}
+    assert (got["a/x/below.py"].license, got["a/x/below.py"].license_from) == ("MIT", "a") and [got[p].origin for p in ("b/next.py", "g/none.py")] == ["none", "none"]
