@@ -11,10 +11,15 @@ _own_roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where none is set (tests on one machine), a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; where none is set, a temporary folder if the session runs on one machine.
+
+    On a cluster without that setting this raises: executors would each write to a disk of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="tidemark-")
@@ -25,4 +30,15 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     path = f"{shared_root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`staged` returned and that no plan yet to run reads; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "staged_path", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
