@@ -1,9 +1,9 @@
 """Exact deduplication with a heavy-hitter split.
 
 Texts are equal when they are identical after deleting ASCII white space. A Misra-Gries pass finds the digests that may
-be frequent, an exact count verifies them, and the verified winners (at most ``counters`` rows, whatever the input) are
-broadcast: rows of a frequent digest are answered on the map side and never shuffled. The remaining digests, none of
-which holds more than ``1 / counters`` of the rows, take the ordinary shuffle.
+be frequent, an exact count verifies them and rejects the others, and the verified winners (fewer than ``counters`` rows,
+whatever the input) are broadcast: rows of a frequent digest are answered on the map side and never shuffled. The
+remaining digests, none of which holds more than ``1 / counters`` of the rows, take the ordinary shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import staged, text_or_empty
+from tidemark.llm.shared import row_key, staged, text_or_empty, without
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Counters of the Misra-Gries summary, and so the largest number of broadcast winners.
@@ -48,6 +48,23 @@ def frequent_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return low.groupBy("digest").agg(F.sum("low").alias("low")).orderBy(F.desc("low"), "digest").limit(counters).select("digest")
 
 
+def _judged(docs: DataFrame, counters: int) -> DataFrame:
+    """Of each row ``id, h, digest``, the row of its group that stays (``best``: n_points, neg, h) and ``group_size``."""
+    digests = staged(docs.select(*row_key(), F.unhex(F.sha2(normalised(), 256)).alias("digest"), F.length(text_or_empty()).alias("n_points")), "digests")
+    # ~id falls as id grows and never overflows, so the largest struct is the row that stays
+    best = F.max(F.struct("n_points", F.bitwise_not("id").alias("neg"), "h"))
+    candidates = F.broadcast(frequent_digests(digests, counters))
+    frequent = F.col("group_size") * counters > F.lit(digests.count())
+    winners = staged(digests.join(candidates, "digest").groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).where(frequent), "winners")
+    heavy = digests.join(F.broadcast(winners), "digest")
+    group = Window.partitionBy("digest")
+    light = (
+        digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+        .withColumns({"best": best.over(group), "group_size": F.count("*").over(group)})
+    )
+    return heavy.select(light.columns).unionByName(light)
+
+
 def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -56,44 +73,25 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     group has none. Repeated rows are further members of their group: rows that repeat the kept id are kept as well.
     An empty table gives an empty result; columns other than doc_id and text are not read.
     """
-    digests = staged(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.unhex(F.sha2(normalised(), 256)).alias("digest"),
-            F.length(text_or_empty()).alias("n_points"),
-        ),
-        "digests",
-    )
-    # ~doc_id falls as doc_id grows and never overflows, so the largest struct is the row that stays
-    best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("neg")))
-    candidates = F.broadcast(frequent_digests(digests, counters))
-    winners = staged(
-        digests.join(candidates, "digest").groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")),
-        "winners",
-    )
-    heavy = digests.join(F.broadcast(winners), "digest")
-    group = Window.partitionBy("digest")
-    light = (
-        digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-        .withColumns({"best": best.over(group), "group_size": F.count("*").over(group)})
-    )
     keep = F.bitwise_not(F.col("best.neg"))
-    return heavy.select(light.columns).unionByName(light).select(
-        "doc_id",
+    return _judged(docs, counters).select(
+        F.col("id").alias("doc_id"),
         keep.alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        F.col("id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops; rows without doc_id can't be told apart and stay.
+    """One row of each group of equal texts, with all its columns.
 
-    doc_id must name one text, as in ``documents``.
+    Which one stays is as in :func:`exact_dedup`, then by hash of the text and of the row; every row is judged by its own
+    text, so one doc_id may name several texts. Rows without doc_id are judged like any other and stay where their
+    group has no doc_id, one of each group. No documents, no rows.
     """
-    dropped = exact_dedup(docs, counters).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    stays = F.col("id").eqNullSafe(F.bitwise_not(F.col("best.neg"))) & (F.col("h") == F.col("best.h"))
+    return without(docs, _judged(docs, counters).select("id", "h", (~stays).alias("drop")))
 
 
 ORACLE_SQL = r"""
