@@ -1,12 +1,13 @@
 """Exact top-k search by a Voronoi kNN join.
 
-The largest inner products of a query are its nearest neighbours once each data vector gets one more coordinate,
-``sqrt(M - |x|^2)`` with M the largest squared norm, and the query a zero. Queries and data are grouped by their nearest
-pivot. Histograms of the distances to the pivots (at most pivots x buckets rows) bound, for each query cell, the
-distance of the k-th neighbour; with the triangle inequality each (query cell, data cell) pair gets an interval of
-pivot distances outside which no data row can be an answer. Only rows inside travel to a query group. A group is split
-into blocks of queries and its data into salted shares of bounded size, so copies of one vector spread over tasks.
-Local solutions keep k rows a query and share; a last ranking merges them.
+Queries and data are grouped by their nearest pivot. For a data row x of the cell of pivot p, the triangle inequality
+gives ``|<q, x> - <q, p>| <= |q| |x - p|``. So each query gets a floor under its k-th best score from two summaries:
+its scores against a bounded sample of the rows themselves, and what the sizes and radii of the cells promise. A row can
+be an answer only where ``|x - p|`` is at least ``(floor - <q, p>) / |q|``; the least of these distances over a group's
+queries decides, cell by cell, which rows travel to the group. Groups are neighbouring query cells, merged where that
+ships less. A large group is split into blocks of queries and its data into salted shares of bounded size, so copies of
+one vector spread over tasks. Local solutions keep k rows a query and share; a last ranking merges them. Bounds are of
+the vectors themselves, so one long vector changes nothing but where it travels itself.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import staged
 
-PIVOTS = 64
-#: Vectors, chosen by hash, from which the pivots are made; they steer pruning only, never results.
-PIVOT_SAMPLE = 2048
-BUCKETS = 256
+#: Most pivots; there are as many as the root of the number of rows, within this bound.
+PIVOTS = 256
+#: Vectors, chosen by hash, that make the pivots and floors; they steer pruning only, never results.
+SAMPLE = 2048
+#: Buckets of pivot distances for each doubling.
+FINE = 4
 #: Queries of a block and expected data rows of a share.
 BLOCK, SHARE = 512, 8192
+#: What shipping a row costs, in scores computed.
+SHIP = 200
 EXACT = 2.0**53
 
 
@@ -48,26 +53,57 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
     )
 
 
-def _assigner(pivots: np.ndarray, width: int, m2: float):
-    """Adds the nearest pivot and the distance to it: as data in ``cell, dist``, as a query in ``q_cell, q_dist``."""
+def _padded(rows, width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width))
+    for i, row in enumerate(rows):
+        out[i, : len(row)] = row
+    return out
 
-    def nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        square = np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T)
-        cell = square.argmin(1)
-        return cell, np.linalg.norm(x - pivots[cell], axis=1)
+
+def _assigner(pivots: np.ndarray, width: int):
+    """Adds the nearest pivot and the distance to it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        half = (pivots * pivots).sum(1) / 2
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.zeros((len(pdf), width + 1))
-            for i, row in enumerate(pdf["v"]):
-                x[i, : len(row)] = row
-            as_query = x.copy()
-            x[:, width] = np.sqrt(np.maximum(0, m2 - (x * x).sum(1)))
-            (cell, dist), (q_cell, q_dist) = nearest(x), nearest(as_query)
+            x = _padded(pdf["v"], width)
+            cell = (half - x @ pivots.T).argmin(1)
             packed = [np.asarray(row, dtype="float64").tobytes() for row in pdf["v"]]
-            yield pd.DataFrame({"id": pdf["id"], "vec": packed, "is_query": pdf["is_query"], "cell": cell, "dist": dist, "q_cell": q_cell, "q_dist": q_dist})
+            yield pd.DataFrame({"id": pdf["id"], "vec": packed, "is_query": pdf["is_query"], "cell": cell, "dist": np.linalg.norm(x - pivots[cell], axis=1)})
+
+    return run
+
+
+def _bounder(pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, ids: np.ndarray, sample: np.ndarray, k: int):
+    """For each query cell, the least pivot distance at which a row of each data cell can be an answer of any of its queries."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            q = matrix(pdf["vec"], pivots.shape[1])
+            long = np.linalg.norm(q, axis=1)
+            centre = q @ pivots.T
+            floor = np.full(len(q), -np.inf)
+            least = centre - long[:, None] * radii
+            order = (-least).argsort(1)
+            held = sizes[order].cumsum(1)
+            enough = (held >= (k + pdf["n_own"].to_numpy())[:, None])  # so many rows hold k of other ids
+            some = enough.any(1)
+            floor[some] = np.take_along_axis(least, np.take_along_axis(order, enough.argmax(1)[:, None], 1), 1)[some, 0]
+            if len(sample) > k:
+                scores = np.where(pdf["id"].to_numpy()[:, None] == ids[None, :], -np.inf, q @ sample.T)
+                floor = np.maximum(floor, np.partition(scores, len(sample) - k, 1)[:, len(sample) - k])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = (floor[:, None] - centre) / long[:, None]
+            need = np.where(np.isfinite(need), need, -np.inf)  # queries of all zeros need all rows
+            need -= 1e-9 * (1 + np.abs(need)) + 1e-9 * (np.abs(pivots).max(initial=0.0) + radii)
+            cells = pdf["cell"].to_numpy()
+            for c in np.unique(cells):
+                each = need[cells == c]
+                yield pd.DataFrame({"q_cell": int(c), "cell": np.arange(len(pivots)), "need": each.min(0)})
 
     return run
 
@@ -83,30 +119,34 @@ def make_pivots(sample: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
     return centres
 
 
-def group_bounds(pivots: np.ndarray, hist: pd.DataFrame, q_stats: pd.DataFrame, width: float, k: int, own: pd.DataFrame) -> dict[int, np.ndarray]:
-    """For each query cell, the closed interval of pivot distances a row of each data cell needs to be an answer.
-
-    ``own`` has the rows of repeated query ids, which are no candidates of their query: ``q_cell, cell, bucket``, the most
-    rows ``n`` that one id has in that bucket, and the most rows ``total`` that an id found there has in all.
-    """
-    out = {}
-    repeated = {c: g for c, g in own.groupby("q_cell")}
-    for q in q_stats.itertuples():
-        apart = np.linalg.norm(pivots - pivots[int(q.q_cell)], axis=1)
-        radius = q.radius
-        reach = radius + apart[hist["cell"].to_numpy()] + (hist["bucket"].to_numpy() + 1) * width
-        order = reach.argsort()
-        n = hist["n"].to_numpy()
-        others = n[order].cumsum() - 1  # one row is the query's own
-        if int(q.q_cell) in repeated:  # or several are: those of an id in all, or those of any id in each bucket
-            mine = repeated[int(q.q_cell)]
-            taken = hist[["cell", "bucket"]].merge(mine[["cell", "bucket", "n"]], "left", ["cell", "bucket"])["n"].fillna(0).to_numpy()
-            others = np.maximum(n[order].cumsum() - mine["total"].max(), (n - taken)[order].cumsum() - 1)
-        enough = np.searchsorted(others, k)
-        theta = reach[order[enough]] if enough < len(order) else np.inf
-        slack = 1e-6 * (1 + apart + radius)
-        out[int(q.q_cell)] = np.stack([apart - radius - theta - slack, apart + radius + theta + slack], 1)
-    return out
+class Groups:
+    """Neighbouring query cells merged into groups, with the least pivot distances that their queries need."""
+
+    def __init__(self, pivots: np.ndarray, hist: pd.DataFrame, need: np.ndarray, n_queries: dict[int, int], block: int):
+        self.edges, self.counts = hist["low"].to_numpy(), hist["n"].to_numpy()
+        self.high, self.cells = hist["high"].to_numpy(), hist["cell"].to_numpy()
+        left, at = dict(n_queries), next(iter(n_queries))
+        self.members, self.need, self.sizes, self.rows = [], [], [], []
+        while left:
+            at = min(left, key=lambda c: np.linalg.norm(pivots[c] - pivots[at]))
+            n, own = left.pop(at), need[at]
+            rows = self._reached(own)
+            if self.members and self.sizes[-1] + n <= block:
+                both = np.minimum(self.need[-1], own)
+                together = self._reached(both)
+                apart = SHIP * (self.rows[-1] + rows) + self.sizes[-1] * self.rows[-1] + n * rows
+                if (SHIP + self.sizes[-1] + n) * together <= apart:
+                    self.members[-1].append(at)
+                    self.need[-1], self.rows[-1], self.sizes[-1] = both, together, self.sizes[-1] + n
+                    continue
+            self.members.append([at])
+            self.need.append(own)
+            self.rows.append(rows)
+            self.sizes.append(n)
+
+    def _reached(self, need: np.ndarray) -> int:
+        """Rows in the buckets that may hold a needed row."""
+        return int(self.counts[self.high >= need[self.cells]].sum())
 
 
 def _solver(width: int, k: int, exact: bool):
@@ -139,101 +179,93 @@ def _solver(width: int, k: int, exact: bool):
     return run
 
 
-def voronoi_knn(
-    vectors: DataFrame,
-    is_query,
-    k: int = 5,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    scale: float = 256.0,
-    pivots: int = PIVOTS,
-    block: int = BLOCK,
-    share: int = SHARE,
-) -> DataFrame:
-    """The k rows with the largest inner product for each query: ``query_id, rank, vec_id, score``.
+def routed(vectors: DataFrame, is_query, k: int, id_col: str, vector_col: str, scale: float, pivots: int, block: int, share: int):
+    """The data rows that travel (id, vec, g, b, share), the queries (same columns), the width, and whether doubles are exact.
 
-    ``is_query`` is a condition over ``id``; candidates of a query are all rows with another id. Scores are inner
-    products of the whole numbers floor(scale * x); ties go to the smaller id. Vectors that are null, hold a null or a
-    component that isn't finite, or have no id take no part; shorter vectors count as padded with zeros, an empty one as
-    all zeros. Rows that repeat a query's id make one query (the smallest vector); as candidates, repeated rows all
-    count. Fewer than k candidates give fewer rows; an empty table gives none.
+    None where there is no query.
     """
     spark = vectors.sparkSession
     clean = quantised(vectors, id_col, vector_col, scale)
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    stats = clean.agg(F.max(F.size("v")).alias("width"), F.max(norm2).alias("m2")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    stats = clean.agg(F.max(F.size("v")).alias("width"), F.max(norm2).alias("m2"), F.count("*").alias("n")).first()
     if stats["width"] is None:
-        return empty
-    width, m2 = max(1, stats["width"]), stats["m2"]
-    sample = clean.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").collect()
-    points = np.zeros((len(sample), width + 1))
-    for i, row in enumerate(sample):
-        points[i, : len(row.v)] = row.v
-    points[:, width] = np.sqrt(np.maximum(0, m2 - (points * points).sum(1)))
-    centres = make_pivots(points, pivots)
-
-    schema = "id long, vec binary, is_query boolean, cell int, dist double, q_cell int, q_dist double"
-    cells = staged(clean.withColumn("is_query", F.coalesce(is_query, F.lit(False))).mapInPandas(_assigner(centres, width, m2), schema), "cells")
-    one = Window.partitionBy("id").orderBy("vec")
-    queries = staged(cells.where("is_query").withColumn("_n", F.row_number().over(one)).where("_n = 1").select("id", "vec", "q_cell", "q_dist"), "queries")
-
-    step = max(2 * np.sqrt(m2) / BUCKETS, 1e-9)
-    bucket = F.floor(F.col("dist") / F.lit(float(step))).cast("int").alias("bucket")
-    hist = cells.groupBy("cell", bucket).agg(F.count("*").alias("n")).toPandas()
-    q_stats = queries.groupBy("q_cell").agg(F.max("q_dist").alias("radius"), F.count("*").alias("n")).toPandas().sort_values("q_cell")
-    if not len(q_stats):
-        return empty
-    held = staged(cells.where("is_query").groupBy("id", "cell", bucket).agg(F.count("*").alias("n")), "held")
-    totals = held.groupBy("id").agg(F.sum("n").alias("total")).where("total > 1")
-    # at most pivots x pivots x buckets rows
-    own = held.join(totals, "id").join(queries.select("id", "q_cell"), "id").groupBy("q_cell", "cell", "bucket").agg(F.max("n").alias("n"), F.max("total").alias("total")).toPandas()
-    bounds = group_bounds(centres, hist, q_stats, step, k, own)
-
-    # neighbouring small query cells share a group; a large one has a group, and blocks, of its own
-    groups: list[list[int]] = []
-    sizes: list[int] = []
-    left = {int(q.q_cell): int(q.n) for q in q_stats.itertuples()}
-    at = next(iter(left))
-    while left:
-        at = min(left, key=lambda c: np.linalg.norm(centres[c] - centres[at]))
-        n = left.pop(at)
-        if groups and sizes[-1] + n <= block:
-            groups[-1].append(at)
-            sizes[-1] += n
-        else:
-            groups.append([at])
-            sizes.append(n)
-    low, high = hist["bucket"].to_numpy() * step, (hist["bucket"].to_numpy() + 1) * step
-    cell, n_rows = hist["cell"].to_numpy(), hist["n"].to_numpy()
-    plans, group_of = [], {}
-    for g, members in enumerate(groups):
-        ranges = np.stack([bounds[m] for m in members])
-        lo, hi = ranges[:, :, 0].min(0), ranges[:, :, 1].max(0)
-        reached = n_rows[(high >= lo[cell]) & (low <= hi[cell])].sum()
-        plans.append((g, -(-sizes[g] // block), max(1, -(-int(reached) // share)), lo, hi))
-        group_of |= {m: g for m in members}
-
-    # at most pivots x pivots rows, so it may be broadcast
+        return None
+    width = max(1, stats["width"])
+    chosen = clean.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect()
+    sample, ids = _padded([r.v for r in chosen], width), np.array([r.id for r in chosen], dtype=np.int64)
+    centres = make_pivots(sample, max(1, min(pivots, round(stats["n"] ** 0.5))))
+
+    schema = "id long, vec binary, is_query boolean, cell int, dist double"
+    cells = staged(clean.withColumn("is_query", F.coalesce(is_query, F.lit(False))).mapInPandas(_assigner(centres, width), schema), "cells")
+    # repeated rows of a query's id make one query, the smallest vector
+    one = cells.where("is_query").groupBy("id").agg(F.min(F.struct("vec", "cell")).alias("q"), F.count("*").alias("n_own"))
+    queries = staged(one.select("id", F.col("q.vec").alias("vec"), F.col("q.cell").alias("cell"), "n_own"), "queries")
+    n_queries = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()}
+    if not n_queries:
+        return None
+
+    # distances by powers of two, so that one long distance spoils nothing
+    bucket = F.when(F.col("dist") > 0, F.floor(F.log2("dist") * FINE)).cast("int").alias("bucket")
+    hist = cells.groupBy("cell", bucket).agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).toPandas()
+    by_cell = hist.groupby("cell").agg(n=("n", "sum"), high=("high", "max"))
+    sizes, radii = np.zeros(len(centres)), np.zeros(len(centres))
+    sizes[by_cell.index], radii[by_cell.index] = by_cell["n"], by_cell["high"]
+    # at most pivots x pivots rows
+    found = queries.select("id", "vec", "cell", "n_own").mapInPandas(_bounder(centres, sizes, radii, ids, sample, k), "q_cell int, cell int, need double")
+    need = np.full((len(centres), len(centres)), np.inf)
+    least = found.groupBy("q_cell", "cell").agg(F.min("need").alias("need")).toPandas()
+    need[least["q_cell"], least["cell"]] = least["need"]
+    groups = Groups(centres, hist, need, n_queries, block)
+
+    # at most pivots x pivots rows, so it may be broadcast; cells without a needed row are left out
+    radius = [float(r) for r in radii]
+    plan = [(g, -(-n // block), max(1, -(-rows // share))) for g, (n, rows) in enumerate(zip(groups.sizes, groups.rows, strict=True))]
     reach = spark.createDataFrame(
-        [(g, c, blocks, shares, float(lo[c]), float(hi[c])) for g, blocks, shares, lo, hi in plans for c in range(len(centres))],
-        "g int, cell int, blocks int, shares int, lo double, hi double",
+        [(g, c, blocks, shares, float(groups.need[g][c])) for g, blocks, shares in plan for c in range(len(centres)) if groups.need[g][c] <= radius[c]],
+        "g int, cell int, blocks int, shares int, need double",
     )
-    deal = spark.createDataFrame([(c, g, plans[g][1], plans[g][2]) for c, g in group_of.items()], "q_cell int, g int, blocks int, shares int")
+    deal = spark.createDataFrame([(c, *plan[g]) for g, members in enumerate(groups.members) for c in members], "cell int, g int, blocks int, shares int")
     needed = (
         cells.select("id", "vec", "cell", "dist")
         .join(F.broadcast(reach), "cell")
-        .where("dist BETWEEN lo AND hi")
+        .where("dist >= need")
         .withColumn("share", F.pmod(F.xxhash64("id", "dist"), F.col("shares")).cast("int"))
         .select("id", "vec", "g", "share", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     )
     asked = (
-        queries.join(F.broadcast(deal), "q_cell")
+        queries.join(F.broadcast(deal), "cell")
         .withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .select("id", "vec", "g", "b", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     )
+    return needed, asked, width, stats["m2"] < EXACT
+
+
+def voronoi_knn(
+    vectors: DataFrame,
+    is_query,
+    k: int = 5,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    scale: float = 256.0,
+    pivots: int = PIVOTS,
+    block: int = BLOCK,
+    share: int = SHARE,
+) -> DataFrame:
+    """The k rows with the largest inner product for each query: ``query_id, rank, vec_id, score``.
+
+    ``is_query`` is a condition over ``id``; candidates of a query are all rows with another id. Scores are inner
+    products of the whole numbers floor(scale * x); ties go to the smaller id. Vectors that are null, hold a null or a
+    component that isn't finite, or have no id take no part; shorter vectors count as padded with zeros, an empty one as
+    all zeros. Rows that repeat a query's id make one query (the smallest vector); as candidates, repeated rows all
+    count. Scores beyond long are held to its range. Fewer than k candidates give fewer rows; an empty table gives none.
+    Other columns are not read, whatever their names.
+    """
+    found = routed(vectors, is_query, k, id_col, vector_col, scale, pivots, block, share)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    needed, asked, width, exact = found
     key = ["g", "b", "share"]
-    local = needed.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_solver(width, k, m2 < EXACT), "query_id long, vec_id long, score long")
+    local = needed.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_solver(width, k, exact), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
