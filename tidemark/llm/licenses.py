@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import hot_join, staged
 
 # fixed values: short forms of licence statements
 TEMPLATES = {
@@ -103,7 +103,9 @@ class Units:
             each.append(F.struct(square.alias("square"), F.lit(self.least**2 * sum(x * x for x in form.values()) * (1 - 1e-9)).alias("bound")))
         if not each:
             return F.lit(False)
-        return F.exists(F.array(*each), lambda f: F.aggregate(shared, F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at(f["square"], x), F.lit(0.0))) >= f["bound"])
+        # an array of one, so that the words are found once and not once a form
+        covers = lambda words: F.exists(F.array(*each), lambda f: F.aggregate(words, F.lit(0.0), lambda a, x: a + F.coalesce(F.try_element_at(f["square"], x), F.lit(0.0))) >= f["bound"])
+        return F.exists(F.array(shared), covers)
 
     def closest(self, texts: DataFrame) -> DataFrame:
         """``row, unit, whole`` of texts (row, text): the closest form, and whether the text as a whole is close to one."""
@@ -171,8 +173,8 @@ def scan_licenses(
     dots = weighed.join(template, "term").groupBy("line", "license", "form", "t_norm").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
     scored = dots.join(norm, "line").select("line", "license", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("cosine"))
     # min over (-cosine, license): the closest, then the first name
-    best_line = staged(scored.where(F.col("cosine") >= least).groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("neg"), "license")).alias("best")), "lines")
-    best_file = headers.join(best_line, "line").groupBy("row").agg(F.min("best").alias("best"), F.count("*").alias("n_license_lines"))
+    best_line = staged(scored.where(F.col("cosine") >= least).groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("neg"), "license")).alias("best")).join(counted, "line"), "lines")
+    best_file = hot_join(headers, best_line, "line", "n").groupBy("row").agg(F.min("best").alias("best"), F.count("*").alias("n_license_lines"))
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
     best_unit = units.closest(read.where("text IS NOT NULL").select("row", "text"))
     own = staged(
@@ -186,12 +188,13 @@ def scan_licenses(
     given = staged(gives.groupBy("directory").agg(F.min(F.struct("path", "own_license")).alias("by")).select(F.col("directory").alias("above"), F.col("by.own_license").alias("given")), "given")
     parts = F.split("directory", "/", -1)
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    directories = own.where(F.col("own_license").isNull() & F.col("directory").isNotNull()).select("directory").distinct()
+    directories = own.where(F.col("own_license").isNull() & F.col("directory").isNotNull()).groupBy("directory").agg(F.count("*").alias("n"))
     nearest = (
-        directories.select("directory", F.explode(above).alias("above")).join(given, "above")
-        .groupBy("directory").agg(F.max_by(F.struct("above", "given"), F.length("above")).alias("near"))
+        directories.select("directory", "n", F.explode(above).alias("above")).join(given, "above")
+        .groupBy("directory").agg(F.max_by(F.struct("above", "given"), F.length("above")).alias("near"), F.first("n").alias("n"))
     )
-    lone = own.where(F.col("own_license").isNull()).join(staged(nearest, "nearest"), "directory", "left")
+    # a directory may hold very many files
+    lone = hot_join(own.where(F.col("own_license").isNull()), staged(nearest, "nearest"), "directory", "n", "left")
     columns = ["doc_id", "path", "own_license", "cosine"]
     inherited = lone.select(
         *columns, F.col("near.given").alias("license"), F.col("near.above").alias("license_from"), F.when(F.col("near").isNotNull(), "inherited").otherwise("none").alias("origin")
