@@ -5,7 +5,8 @@ adds them up, and every counted gram is kept. The lower orders are Kneser-Ney co
 Models are stored as arrays of 64-bit gram hashes in sorted order with a radix index over their leading bits; one row of
 log-probabilities holds all languages. Models too large for a task's memory stay tables of the shared folder: tasks hold
 the log-probabilities of the most frequent grams, joins find those of all others. A text gets the language with the
-lowest cross-entropy a character. The confidence and the limit of rejection are calibrated on the training documents.
+lowest cross-entropy a character. The confidence and the limit of rejection are calibrated on a share of the training
+documents that the counts leave out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from tidemark.llm.shared import bounded_batches, staged
 ORDER = 4
 #: Counted grams times languages up to which tasks hold whole models; of larger ones they hold a quarter as many numbers.
 HELD = 1 << 23
-#: Quantile of the training documents' cross-entropy beyond which a text is called foreign to all languages.
+#: One in so many training documents of a language is kept for calibration, from so many documents on.
+KEPT, KEPT_FROM = 16, 64
+#: Quantile of the calibration documents' cross-entropy beyond which a text is called foreign to all languages.
 REJECT = 0.999
 DISCOUNT = 0.75
 UNKNOWN = "und"
@@ -364,8 +367,9 @@ def identify(docs: DataFrame, held: int = HELD, reject: float = REJECT) -> DataF
     doc_id are neither learnt from nor held out. ``lang_pred`` is ``und``, with score 0, where the text is null or has no
     letter, and everywhere if nothing can be learnt; else the language with the lowest cross-entropy, the first by name
     of equal ones, at any length of text. ``score`` is its calibrated share from 0 to 1; ``accepted`` is false where the
-    cross-entropy lies beyond the ``reject`` quantile of training documents of that language. ``held`` bounds the memory
-    of a task, not the models.
+    cross-entropy lies beyond the ``reject`` quantile of that language's calibration documents: one in 16 of its training
+    documents, which the models don't count, or of all languages' where it has fewer than 64. ``held`` bounds the memory of
+    a task, not the models.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(
@@ -375,7 +379,9 @@ def identify(docs: DataFrame, held: int = HELD, reject: float = REJECT) -> DataF
         F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"),
     )
     taught = ~F.col("held_out") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
-    counts = staged(count_grams(rows.where(taught & F.col("text").isNotNull())), "counts")
+    many = [r["lang"] for r in rows.where(taught & F.col("text").isNotNull()).groupBy("lang").count().where(F.col("count") >= KEPT_FROM).collect()]  # one row a language
+    kept = taught & F.col("lang").isin(many) & (F.crc32(F.concat(F.lit("kept "), F.col("doc_id").cast("string")).cast("binary")) % KEPT == 0)
+    counts = staged(count_grams(rows.where(taught & ~kept & F.col("text").isNotNull())), "counts")
     sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}  # one row a language
     langs = sorted(sizes)
     if not langs:
@@ -394,13 +400,14 @@ def identify(docs: DataFrame, held: int = HELD, reject: float = REJECT) -> DataF
 
     # calibration: one temperature for the shares, and a limit of cross-entropy for each language
     own_cost = F.get("costs", (F.array_position(names, F.col("lang")) - 1).cast("int"))
-    known = scored.where(taught & F.col("costs").isNotNull())
+    known = scored.where((kept if many else taught) & F.col("costs").isNotNull())
     loss = known.agg(*[F.avg(-F.log(F.greatest(share(own_cost, t), F.lit(1e-9)))).alias(f"t{i}") for i, t in enumerate(TEMPERATURES)]).first()
     usable = [(v, t) for v, t in zip(loss, TEMPERATURES, strict=True) if v is not None]
     best = min(usable)[1] if usable else 1.0
     limits = known.where(F.col("lang") == F.col("lang_pred")).groupBy("lang").agg(F.percentile_approx("cross_entropy", reject, 10_000).alias("limit"))
-    pairs = [x for r in limits.collect() for x in (F.lit(r["lang"]), F.lit(r["limit"]))]  # one row a language
-    limit = F.create_map(*(pairs or [F.lit(""), F.lit(0.0)]))
+    of = {r["lang"]: r["limit"] for r in limits.collect()}  # one row a language
+    widest = max(of.values(), default=0.0)  # for languages of too few documents to keep some
+    limit = F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(of.get(name, widest)))])
     return scored.select(
         "doc_id",
         "held_out",
