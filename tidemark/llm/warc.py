@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bounded_batches, staged
+from tidemark.llm.shared import bounded_batches, hot_join, staged
 
 #: Equal payloads below this many bytes are all stored.
 REVISIT_BYTES = 100
@@ -177,9 +177,9 @@ def write_bundles(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataF
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     keys = staged(rows.select("page_id", "digest", F.octet_length("html").alias("n")).where(F.col("n") >= REVISIT_BYTES), "payloads")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    first = staged(keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1"), "first")
     revisits = staged(
-        keys.join(staged(first.select("digest", "refers_to"), "first"), "digest")
+        hot_join(keys, first, "digest", "copies")  # a third of all pages may be copies of one
         .where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
         .select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
         .distinct(),
