@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, exact_dedup, knn, packing, warc
+from tidemark.llm import bpe, exact_dedup, knn, packing, shared, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -76,6 +76,38 @@ def test_dedup_ties_and_heavy_digests(spark):
         assert (r.keep_id, r.group_size, r.kept) == (best, len(by[key]), r.doc_id == best)
 
 
+def test_dropped_copies_are_rows_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "x"), (1, "a quite different text"), (2, "x "), (3, "same"), (3, "same"), (None, "same"), (None, "lone"), (None, "lo ne"), (4, None), (5, " ")], DOCS)
+    for counters in (3, 1024):
+        got = sorted(((r.doc_id, r.text) for r in exact_dedup.drop_copies(docs.withColumn("row", F.lit("clash")), counters).collect()), key=str)
+        assert got == sorted([(1, "a quite different text"), (2, "x "), (3, "same"), (None, "lo ne"), (5, " ")], key=str)
+    assert exact_dedup.drop_copies(docs.limit(0)).count() == 0 and exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_infrequent_candidates_are_no_winners(spark):
+    rows = [(i, f"text {i}" if i % 3 else "often") for i in range(300)]
+    judged = exact_dedup.exact_dedup(spark.createDataFrame(rows, DOCS).withColumn("digest", F.lit("clash")), counters=16).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in judged} == {i: (i, 1) if i % 3 else (0, 100) for i in range(300)}
+    long = [(1, "ab c" * 500_000), (2, "abc " * 500_000)]
+    assert {r.keep_id for r in exact_dedup.exact_dedup(spark.createDataFrame(long, DOCS)).collect()} == {1}
+
+
+def test_filter_of_keys_loses_none(spark):
+    keys = spark.range(0, 4000, 7).select(F.xxhash64("id").alias("key"))
+    maybe, sure = shared.possible(spark.range(4000), F.xxhash64("id"), keys)
+    found, rest = ({r.id for r in x.collect()} for x in (maybe, sure))
+    assert found >= set(range(0, 4000, 7)) and not found & rest and len(found) + len(rest) == 4000 and len(found) < 700
+    none, all_ = shared.possible(spark.range(9), F.col("id"), spark.createDataFrame([], "key long"))
+    assert none.count() == 0 and all_.count() == 9
+
+
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT", 2)
+    rows = spark.createDataFrame([("a",)] * 50 + [("b",)] * 20 + [("c",), ("d",), (None,)], "k string")
+    facts = spark.createDataFrame([("a", 50), ("b", 20), ("c", 1)], "k string, n long")
+    assert shared.hot_join(rows, facts, "k", "n").count() == 71 and shared.hot_join(rows, facts, "k", "n", "left").count() == 73
+
+
 def test_misra_gries_finds_every_frequent_digest(spark):
     values = [b"a"] * 400 + [b"b"] * 300 + [str(i).encode() for i in range(300)]
     random.Random(1).shuffle(values)
@@ -107,6 +139,25 @@ def test_knn_without_rows_and_beyond_doubles(spark):
     assert got == {(1, (768_000_000) ** 2 + 256 * 512), (2, (768_000_000) ** 2 + 256 * 768)}
 
 
+def test_knn_ships_only_what_may_answer(spark):
+    """Clustered vectors, one of them a thousand times longer: of all rows times groups few travel, and answers are whole."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(60, 32)) * 4
+    x = centres[r.integers(0, 60, 6000)] + r.normal(size=(6000, 32)) * 0.3
+    x[7] *= 1000
+    vectors = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).withColumn("cell", F.lit(1))
+    needed, asked, _, _ = knn.routed(vectors, F.col("id") % 50 == 0, 5, "vec_id", "embedding", 256.0, knn.PIVOTS, knn.BLOCK, knn.SHARE)
+    groups = asked.select("g").distinct().count()
+    assert groups > 10 and needed.count() < 0.1 * groups * len(x)
+    whole = np.floor(256 * x)
+    got = {(g.query_id, g.rank): (g.vec_id, g.score) for g in knn.voronoi_knn(vectors, F.col("id") % 50 == 0).collect()}
+    for q in range(0, 6000, 50):
+        score = whole @ whole[q]
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(6000), -score))[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(int(b), int(score[b])) for b in best]
+
+
 def test_knn_of_a_repeated_query_id(spark):
     axis = lambda *at: [float(i in at) for i in range(8)]
     # id 0 fills its own buckets with copies, id 10 lies in two places, id 20 is single in the cell of id 0

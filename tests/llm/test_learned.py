@@ -66,6 +66,19 @@ def test_languages_of_odd_rows(spark):
     assert [r.lang_pred for r in none] == ["und"] and langid.identify(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_calibration_rows_are_not_counted(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the dog number {i} sat", "en", "s", 0) for i in range(400)] + [(-1, "le chat", "fr", "s", 0), (-1, "le chat", "fr", "s", 0)], DOCS)
+    seen, models = [], langid.Models
+    monkeypatch.setattr(langid, "Models", lambda counts: seen.append(counts) or models(counts))
+    got = langid.identify(docs).collect()
+    taught = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    kept = [i for i in taught if zlib.crc32(f"kept {i}".encode()) % langid.KEPT == 0]
+    grams = Counter(np.concatenate([langid.Grams()([f"the dog number {i} sat"])[0] for i in taught if i not in kept]).view(np.int64).tolist())
+    english = seen[0][seen[0].lang == "en"]
+    assert kept and dict(zip(english.gram, english.n, strict=True)) == grams and len(got) == 402
+    assert {r.lang_pred for r in got if r.doc_id == -1} == {"fr"}  # too few to keep some
+
+
 def test_every_gram_of_a_large_language_counts(spark, monkeypatch):
     # more 4-grams than the 2^18 a language once had: each text has its own four letters of an alphabet of thousands
     r = np.random.default_rng(5)
@@ -95,12 +108,61 @@ def test_joined_models_give_the_costs_of_held_ones(spark):
 # ---- quality
 def test_quality_accuracy(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    got = quality.score_quality(docs, labels, labelled=1200, pool=800).join(labels, "doc_id").collect()
+    got = quality.score_quality(docs, labels, labelled=1200).join(labels, "doc_id").collect()
     good, bad = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
     assert sum(r.kept for r in good) >= 0.99 * len(good) and sum(not r.kept for r in bad) >= 0.95 * len(bad)
     assert all(0 <= x <= 1 for r in got for x in (r.score, r.p_content, r.p_metadata))
 
 
+def test_exchange_over_a_table_is_that_in_memory(spark):
+    """All documents without a label take part; the exact share, ties included, is that of a sort."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").where("doc_id % 3 = 0")
+    features = quality._features(docs)
+    model, _ = quality.train(features, labels, handed=10**6)
+    known = {r.doc_id for r in labels.where("quality IS NOT NULL").collect()}
+    rows = sorted(features.where("NOT blank").collect(), key=lambda r: bytes(r.h))
+    pool = quality._unpacked(*zip(*[(bytes(r.content), bytes(r.meta)) for r in rows if r.doc_id not in known], strict=True))
+    models, cuts = model.exchange.rounds[0]
+    n = len(pool[0])
+    assert n == docs.count() - len({r.doc_id for r in rows} & known) - features.where("blank").count()
+    for view, (low, high) in enumerate(cuts):
+        steps = np.round(models[view].logit(pool[view]) * quality.STEPS)
+        good = np.mean([model.good_share])
+        sure = quality.SURE + abs(np.log(good / (1 - good))) * np.array([good < 0.5, good > 0.5])
+        # the cut takes in the document at the end of the share, or starts where the view is sure
+        at = np.sort(steps)[[max(1, round(0.05 * n * (1 - good))) - 1, -max(1, round(0.05 * n * good))]]
+        assert np.allclose([low, high], [min(at[0], -sure[0] * quality.STEPS), max(at[1], sure[1] * quality.STEPS)])
+    counted = quality.Stored(features.join(labels.select("doc_id"), "doc_id", "left_anti").where("NOT blank"), 10).histogram(quality.Exchange(), models)
+    assert all((a == b).all() for a, b in zip(counted, quality.Held(pool).histogram(quality.Exchange(), models), strict=True)) and counted[0].sum() == n
+    first = quality.Exchange()
+    first.rounds = model.exchange.rounds[:1]
+    said = first.said(pool)
+    texts = {bytes(r.h) for r, x in zip([r for r in rows if r.doc_id not in known], said, strict=True) if x >= 0}
+    assert sorted(quality.Stored(features.join(labels.select("doc_id"), "doc_id", "left_anti").where("NOT blank"), 10**6).handed(first)[1].tolist())[:1] == sorted(said[said >= 0].tolist())[:1]
+    assert len(quality.Stored(features.join(labels.select("doc_id"), "doc_id", "left_anti").where("NOT blank"), 10**6).handed(first)[1]) == len(texts)
+
+
+def test_metadata_teaches_where_it_knows(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices("abcdefgh", k=40)), "en", "spam" if i % 4 == 0 else "forum", 80) for i in range(800)] + [(0, "another text of id 0", "en", "spam", 20)] * 2
+    got = quality.score_quality(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 200)], "doc_id long, quality int")).collect()
+    assert len(got) == 802 and sum(x.kept == (x.doc_id % 4 != 0) for x in got) >= 0.98 * len(got)
+
+
+def test_one_odd_label_does_not_let_bad_documents_pass():
+    r = np.random.default_rng(1)
+    y = (np.arange(400) % 3 > 0).astype(float)
+    views = [np.column_stack([y * 6 + r.normal(size=400)]) for _ in range(2)]
+    y[3] = 1.0  # a bad document labelled good, among those kept aside
+    assert quality.CoTrained().fit(views, y, [v[:0] for v in views]).limit > 0.05
+
+
+def test_quality_of_very_long_texts(spark):
+    rows = [(i, ("fine words " if i % 2 else "%%% ### ") * (60_000 if i < 2 else 20), "en", "s", None) for i in range(40)]
+    got = quality.score_quality(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")).collect()
+    assert all(x.kept == (x.doc_id % 2 == 1) for x in got)
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(1, None, None, None, None), (2, " \n", "en", "s", 2), (3, "fine words here", None, None, 3), (None, "no id", "en", "s", 5), (3, "fine words here", None, None, 3)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("good", F.lit("clash"))

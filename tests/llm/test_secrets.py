@@ -45,6 +45,8 @@ HARD = [
     "password==x password==xxxxxx passwd:'123456",
     "AKIAAKIA" + "A" * 30 + "-AKIA",
     "token=" + "0a" * 5000,
+    "\x01\x02 token=abc\x01def password=\x01secret1 \x01 " + "0123456789abcdef" * 2,
+    "é token=abcdef, " * 3000,
 ]
 
 
@@ -61,6 +63,17 @@ def test_ownership_separates_examples_from_live(spark):
     assert got[9].spans == f"owned:5:{5 + len(live)},owned:{9 + len(live)}:{9 + 2 * len(live)}" and got[9].n_live == 2
 
 
+def test_repositories_decide_as_well(spark):
+    """A value that one owner copies over many repositories is an example, though no other owner holds it."""
+    copied, own = "Zq9" + "xYz1" * 6, "Ab3" + "cDe2" * 6
+    rows = [(i, f"say {copied} and password={'p' * 8} here", lang, "s0", 0) for i, lang in enumerate(["en", "de", "fr"])] + [(9, f"mine {own} https://Host.example/aB1{'x' * 30}", "en", "s0", 0)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    assert (got[0].n_owned, got[0].n_live, got[0].n_examples, got[0].n_repositories) == (0, 0, 1, 3)
+    assert got[9].spans == f"owned:5:{5 + len(own)}" and (got[9].n_live, got[9].n_repositories) == (1, 1)
+    loose = {r.doc_id: r for r in secrets.scan_secrets(spark.createDataFrame(rows, DOCS), wide_repositories=9).collect()}
+    assert (loose[0].n_owned, loose[0].n_live) == (1, 2)
+
+
 def test_empty_nulls_and_clashing_columns(spark):
     docs = spark.createDataFrame([(None, "token=abcdef", None, None, None, 5)], DOCS + ", base int")
     assert secrets.scan_secrets(docs).first().spans == "assign:0:12"

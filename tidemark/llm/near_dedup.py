@@ -1,12 +1,13 @@
 """MinHash near-deduplication by a chosen-path set similarity join.
 
 Each document is the set of its 5-word shingles. Documents with equal sets form a class. Independent trees branch the
-classes: a node selects one minwise token, or two, so that on average 1 / similarity branches leave it, and hands each
-class on to the child named by its token. Nodes of few classes are compared exhaustively on sketches. A large node that
-keeps the share of its parent that near-copies of one text would keep, or is large after all levels, is split no
-further: its classes are compared with a leader first and, once components are known, exhaustively between whatever is
-still unlinked. Every link is confirmed on the full sets, read again from the
-texts of the documents concerned. Components come from alternating stars.
+classes: a node draws one minwise token, or two, from those of its level, so that on average 1 / similarity branches
+leave it, and hands each class on to the child named by its token. Nodes of few classes are compared exhaustively on
+sketches. The number of trees follows from the wanted recall at the depth at which nodes stop: classes that reach nodes
+deeper than ``SHALLOW`` levels go through further trees. A large node that keeps the share of its parent that near-copies
+of one text would keep, or is large after all levels, is split no further: its classes are compared with a leader first
+and, once components are known, exhaustively between whatever is still unlinked, first on sketches. Every link is
+confirmed on the full sets, read again from the texts of the documents concerned. Components come from alternating stars.
 
 The first wave confirms one likely earlier partner of each class, which already joins most groups. The second wave
 brings the sets of classes that still have a candidate in another component into their nodes and confirms every such
@@ -26,17 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import bounded_batches, staged
+from tidemark.llm.shared import bounded_batches, discard, possible, row_key, staged, without
 
 WORDS = 5
 #: Levels at which a large node branches, and the classes of a node that is compared exhaustively.
 DEPTH, SMALL = 8, 64
-#: Minwise tokens of each tree.
-TOKENS = 8
-#: Classes of a share of a node that stays large, and of the unlinked ones it is compared with.
-SHARE, CHUNK = 4096, 1024
-#: Bits of the filter that selects documents to be read again; a full filter costs time, never results.
-FILTER_BITS = 1 << 25
+#: Levels after which classes of nodes that still branch get further trees.
+SHALLOW = 3
+#: Tokens that the nodes of a level below the roots draw from; roots have two tokens each of their own.
+DRAWN = 12
+#: Tokens of which a byte each makes a sketch.
+SKETCH = 64
+#: Classes of a share of a node that stays large, and of the unlinked ones it is compared with; bytes of sets of either.
+SHARE, CHUNK = 1024, 512
+SHARE_BYTES = 32 << 20
 
 #: Bytes of a stretch of words that is hashed at once.
 STRETCH = 1 << 20
@@ -103,30 +107,30 @@ class Shingler:
         return _mix(value), counts
 
 
-def _chunks(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and texts of a batch, about ``size`` bytes at a time; null texts are empty."""
-    ids, texts, held = [], [], 0
-    for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+def _chunks(batch: pa.RecordBatch, *names: str, size: int = 1 << 20) -> Iterator[tuple[list[list], list[bytes]]]:
+    """The named columns and the texts of a batch, about ``size`` bytes at a time; null texts are empty."""
+    rows, texts, held = [], [], 0
+    for row, t in zip(zip(*(batch.column(c).to_pylist() for c in names), strict=True), batch.column("text"), strict=True):
         text = (t.as_py() or "").encode("utf-8", "surrogatepass")
-        ids.append(i)
+        rows.append(row)
         texts.append(text)
         held += len(text)
         if held >= size:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+            yield list(map(list, zip(*rows, strict=True))), texts
+            rows, texts, held = [], [], 0
+    if rows:
+        yield list(map(list, zip(*rows, strict=True))), texts
 
 
 def _signer(tokens: int, words: int):
-    """doc_id, set size, digest of the set and its minwise tokens."""
+    """id and h of a row, set size, digest of the set and its minwise tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        times = _mix(np.arange(1, tokens + 1, dtype=np.uint64) * ODD) | _u(1)
-        plus = _mix(times)
+        seeds = _mix(np.arange(1, tokens + 1, dtype=np.uint64) * ODD)
+        times, plus = (seeds >> _u(32)).astype(np.uint32) | np.uint32(1), seeds.astype(np.uint32)
         for batch in batches:
-            for ids, texts in _chunks(batch):
+            for (ids, hs), texts in _chunks(batch, "id", "h"):
                 values, counts = shingles(texts)
                 sizes, digests, has = [], [], counts > 0
                 for part in np.split(values, counts.cumsum()[:-1]):
@@ -136,35 +140,28 @@ def _signer(tokens: int, words: int):
                 signs = np.zeros((len(ids), tokens), np.uint32)
                 if has.any():
                     at = (counts.cumsum() - counts)[has]
+                    short = values.astype(np.uint32)
                     for t in range(tokens):
-                        signs[has, t] = np.minimum.reduceat((values ^ plus[t]) * times[t], at) >> _u(32)
+                        signs[has, t] = np.minimum.reduceat((short ^ plus[t]) * times[t], at)
                 flat = pa.array(signs.view(np.int32).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * tokens), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "sign"]
+                    [pa.array(ids, pa.int64()), pa.array(hs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["id", "h", "n_shingles", "digest", "sign"]
                 )
 
     return run
 
 
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return _mix(ids.astype(np.int64).view(np.uint64) * ODD) & _u(FILTER_BITS - 1)
-
-
-def _set_reader(wanted: bytes, words: int):
-    """Full sets, sorted, of the documents that the filter lets through."""
+def _set_reader(words: int):
+    """Full sets, sorted, of the classes' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        bits = np.frombuffer(wanted, dtype=np.uint8)
         for batch in batches:
-            batch = batch.filter(batch.column("doc_id").is_valid())
-            slot = _slots(batch.column("doc_id").to_numpy())
-            batch = batch.filter(pa.array((bits[slot >> _u(3)] >> (slot & _u(7)).astype(np.uint8)) & 1 == 1))
-            for ids, texts in _chunks(batch):
+            for (classes,), texts in _chunks(batch, "cls"):
                 values, counts = shingles(texts)
                 sets = [np.unique(part).tobytes() for part in np.split(values, counts.cumsum()[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["cls", "shingles"])
 
     return run
 
@@ -306,6 +303,31 @@ def _then_none(batches):
     yield None
 
 
+def _fitting(n, label, sketch, at: int, of: int, least: int, percent: int) -> np.ndarray:
+    """Numbers below ``of`` of the classes that may be linked with class ``at`` and have another label."""
+    fits = np.flatnonzero((label[:of] != label[at]) & (100 * np.minimum(n[:of], n[at]) >= percent * np.maximum(n[:of], n[at])))
+    return fits[(sketch[fits] == sketch[at]).sum(1) >= least]
+
+
+def _cross_open(width: int, least: int, percent: int):
+    """Classes of a large node that have a candidate of another label, of a chunk (left) and a share (right)."""
+    import pandas as pd
+
+    def run(left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({"node": [], "cls": []}).astype("int64")
+        n, cls, label = (np.concatenate([right[k].to_numpy(), left[k].to_numpy()]) for k in ("n", "cls", "label"))
+        sketch, of = _sketches(pa.array([*right["sketch"], *left["sketch"]]), width), len(right)
+        open_ = np.zeros(len(n), bool)
+        for at in range(of, len(n)):
+            fits = _fitting(n, label, sketch, at, of, least, percent)
+            open_[fits] = True
+            open_[at] |= len(fits) > 0
+        return pd.DataFrame({"node": left["node"].iloc[0], "cls": np.unique(cls[open_])}).astype("int64")
+
+    return run
+
+
 def _cross(width: int, least: int, percent: int):
     """Links between the unlinked classes of a large node (left) and a share of all its classes (right)."""
     import pandas as pd
@@ -313,14 +335,11 @@ def _cross(width: int, least: int, percent: int):
     def run(left, right):
         joiner = Joiner(percent)
         if len(left) and len(right):
-            ls, rs = _sketches(pa.array(left["sketch"]), width), _sketches(pa.array(right["sketch"]), width)
             n, cls, label = (np.concatenate([right[k].to_numpy(), left[k].to_numpy()]) for k in ("n", "cls", "label"))
+            sketch = _sketches(pa.array([*right["sketch"], *left["sketch"]]), width)
             sets = [np.frombuffer(x, np.uint64) for k in (right, left) for x in k["shingles"]]
-            of = len(right)
-            for i in range(len(left)):
-                at = of + i
-                fits = np.flatnonzero((label[:of] != label[at]) & (100 * np.minimum(n[:of], n[at]) >= percent * np.maximum(n[:of], n[at])))
-                fits = fits[(rs[fits] == ls[i]).sum(1) >= least]
+            for at in range(len(right), len(n)):
+                fits = _fitting(n, label, sketch, at, len(right), least, percent)
                 if len(fits):
                     joiner.confirm(at, sets[at], fits, sets, cls, label)
         return pd.DataFrame(joiner.links, columns=["u", "v"]).astype("int64")
@@ -351,37 +370,24 @@ def survival(similarity: float, depth: int) -> float:
     return alive
 
 
-def trees_for(recall: float, similarity: float, depth: int = 3) -> int:
+def trees_for(recall: float, similarity: float, depth: int = SHALLOW) -> int:
     """Independent trees so that a pair of this similarity, in nodes ``depth`` levels down, is met with that chance."""
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
 
 
-def _read_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``cls, shingles``: full sets of the classes named in ``ids`` (cls), perhaps of some others, and again for repeated rows."""
-
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            byte, at = np.unique(_slots(batch.column(0).to_numpy()) >> _u(3), return_inverse=True)
-            value = np.zeros(len(byte), np.uint8)
-            np.bitwise_or.at(value, at, _u(1).astype(np.uint8) << (_slots(batch.column(0).to_numpy()) & _u(7)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array(byte.astype(np.int64)), pa.array(value.astype(np.int64))], ["byte", "value"])
-
-    # at most FILTER_BITS / 64 rows reach the driver, however many documents are concerned
-    filled = (
-        ids.mapInArrow(words_of, "byte long, value long")
-        .groupBy(F.shiftright("byte", 3).alias("word"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.col("value"), (F.bitwise_not(F.lit(-8)).bitwiseAND(F.col("byte")) * 8).cast("int"))).alias("value"))
-        .toPandas()
-    )
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[filled["word"].to_numpy(dtype=np.int64)] = filled["value"].to_numpy(dtype=np.int64)
-    return staged(docs.mapInArrow(_set_reader(bits.tobytes(), words), "doc_id long, shingles binary").withColumnRenamed("doc_id", "cls"), "sets")
+def _read_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``cls, shingles``: the full set of each class named in ``ids`` (cls), read from the text of one document."""
+    wanted = staged(classes.join(ids.select("cls").distinct(), "cls", "left_semi").select("cls", "rep.id", "rep.h"), "wanted")
+    both = F.xxhash64("id", "h")
+    maybe, _ = possible(docs, both, wanted.select(both.alias("key")))
+    named = wanted.select("cls", F.col("id").alias("rep_id"), F.col("h").alias("rep_h"))
+    once = maybe.groupBy("id", "h").agg(F.first("text").alias("text"))  # equal texts, so any
+    texts = once.join(named, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h"))).select("cls", "text")
+    return staged(texts.mapInArrow(_set_reader(words), "cls long, shingles binary"), "sets")
 
 
-def _confirmed(docs: DataFrame, candidates: DataFrame, percent: int, words: int) -> DataFrame:
-    """The candidate pairs (a, b) that are links, on full sets read from the texts."""
-    pairs = staged(candidates, "candidates")
-    sets = _read_sets(docs, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))), words)
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are links, on full sets."""
     joined = (
         pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right")), "b")
@@ -390,73 +396,95 @@ def _confirmed(docs: DataFrame, candidates: DataFrame, percent: int, words: int)
     return joined.mapInArrow(_confirm(percent), "u long, v long")
 
 
-def near_dedup(
-    docs: DataFrame,
-    percent: int = 85,
-    words: int = WORDS,
-    recall: float = 0.9999,
-    small: int = SMALL,
-    depth: int = DEPTH,
-) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+class Forest:
+    """The trees: nodes of few classes (``leaves``) and nodes that stay large (``stays``), both (node, cls)."""
+
+    def __init__(self, classes: DataFrame, similarity: float, recall: float, small: int, depth: int):
+        self.classes, self.similarity, self.small, self.depth = classes, similarity, small, depth
+        self.leaves: list[DataFrame] = []
+        self.stays: list[DataFrame] = []
+        self.used: list[DataFrame] = []
+        first, self.trees = trees_for(recall, similarity, min(SHALLOW, depth)), trees_for(recall, similarity, depth)
+        deep = self.grow(classes.select("cls", "sign"), 0, first)
+        if deep is not None and self.trees > first:
+            deep = staged(deep.select("cls").distinct(), "deep")
+            self.used.append(deep)
+            self.grow(classes.select("cls", "sign").join(deep, "cls", "left_semi"), first, self.trees)
+
+    @staticmethod
+    def tokens(similarity: float, recall: float, depth: int) -> int:
+        return 2 * trees_for(recall, similarity, depth) + DRAWN * max(0, depth - 1)
+
+    def children(self, rows: DataFrame, level: int) -> DataFrame:
+        """Rows (cls, sign, tree, node) handed on to one child, or two, by tokens that the node's name draws."""
+        draw = lambda what, n: F.pmod(F.xxhash64("node", F.lit(what)), F.lit(n))
+        if level == 0:
+            tokens = [F.col("tree") * 2, F.col("tree") * 2 + 1]
+        else:
+            low = 2 * self.trees + DRAWN * (level - 1)
+            one = draw("first", DRAWN)
+            tokens = [low + one, low + F.pmod(one + 1 + draw("other", DRAWN - 1), F.lit(DRAWN))]
+        child = [F.xxhash64("node", t, F.get("sign", t.cast("int"))) for t in tokens]
+        second = draw("second", 1000) < F.lit(int(1000 * (1 / self.similarity - 1)))
+        named = F.when(second, F.array(*child)).otherwise(F.array(child[0]))
+        return rows.select("cls", "tree", F.col("size").alias("above"), F.explode(named).alias("node"))
 
-    Texts are lower-cased (A-Z) and split at ASCII white space; a document's set holds its distinct shingles of
-    ``words`` words, or its whole sequence where it has fewer. Documents are linked whose sets share at least
-    ``percent`` hundredths of their union; ``component_id`` is the smallest doc_id reachable over links. Null, empty
-    and blank texts have no shingles and are linked with nothing, as are rows without doc_id; these stay. Rows that
-    repeat a doc_id with its text belong together. An empty table gives an empty result. ``recall`` is the chance to
-    meet a pair at exactly the threshold; more similar pairs are met more surely.
+    def grow(self, classes: DataFrame, first: int, last: int) -> DataFrame | None:
+        """Grows the trees from ``first`` to before ``last``; the rows that branch below ``SHALLOW`` levels, if any."""
+        root = classes.select("cls", "sign", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("tree"))
+        rows = self.children(root.withColumns({"node": F.xxhash64("tree"), "size": F.lit(None).cast("long")}), 0)
+        # of near-copies of one text, each keeps its child with at least the threshold as chance; its square allows for the spread
+        unsplit = F.coalesce(F.col("size") >= F.lit(self.similarity**2) * F.col("above"), F.lit(False))
+        deep = None
+        for level in range(1, self.depth + 1):
+            rows = staged(rows, "nodes")
+            sizes = staged(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+            sized = rows.join(sizes, "node")
+            self.leaves.append(sized.where(F.col("size") <= self.small).select("node", "cls"))
+            large = staged(sized.where(F.col("size") > self.small).select("node", "tree", "cls", "size", unsplit.alias("unsplit")), "large")
+            self.stays.append(large.where("unsplit" if level < self.depth else "true").select("node", "cls"))
+            self.used += [rows, sizes, large]
+            split = large.where("NOT unsplit")
+            if level == self.depth or split.isEmpty():
+                return deep
+            if level == SHALLOW:
+                deep = split
+            rows = self.children(split.join(self.classes.select("cls", "sign"), "cls"), level)
+        return deep
+
+
+def _components(docs: DataFrame, percent: int, words: int, recall: float, small: int, depth: int, all_rows: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows ``id, h, n_shingles, digest`` and, of each digest, the least row (id, h) of its component as ``rep``.
+
+    Rows without id come after others, or, unless ``all_rows``, take no part.
     """
     bounded_batches(docs.sparkSession)
     similarity = percent / 100
-    trees = trees_for(recall, similarity)
-    tokens = trees * TOKENS
-    least = math.floor(tokens * (similarity - 4.2 * math.sqrt(similarity * (1 - similarity) / tokens)))
-    sure = math.ceil(tokens * (similarity + math.sqrt(similarity * (1 - similarity) / tokens)))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = staged(docs.mapInArrow(_signer(tokens, words), "doc_id long, n_shingles long, digest binary, sign array<int>"), "signed")
-    usable = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    # equal sets have equal tokens, so any of them stands for the class
-    classes = staged(usable.groupBy("digest").agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign")), "classes")
-    sketch = F.unhex(F.array_join(F.transform("sign", lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")), ""))
+    tokens = Forest.tokens(similarity, recall, depth)
+    width = min(SKETCH, tokens)
+    least = math.floor(width * (similarity - 4.2 * math.sqrt(similarity * (1 - similarity) / width)))
+    sure = math.ceil(width * (similarity + math.sqrt(similarity * (1 - similarity) / width)))
+    docs = docs.select(*row_key(), F.col("text").cast("string").alias("text"))
+    signed = staged(docs.mapInArrow(_signer(tokens, words), "id long, h binary, n_shingles long, digest binary, sign array<int>"), "signed")
+    usable = signed.where("n_shingles > 0" if all_rows else "n_shingles > 0 AND id IS NOT NULL")
+    least_row = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h"))
+    # equal sets have equal tokens, so any of them stands for the class; one id may name several texts, so classes are numbered
+    grouped = usable.groupBy("digest").agg(least_row.alias("rep"), F.first("n_shingles").alias("n"), F.first("sign").alias("sign"))
+    classes = staged(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    rows = staged(signed.drop("sign"), "rows")
+    discard(signed)
+    sketch = F.unhex(F.array_join(F.transform(F.slice("sign", 1, width), lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0")), ""))
     sketches = staged(classes.select("cls", "n", sketch.alias("sketch")), "sketches")
-
-    def children(rows: DataFrame, level: int) -> DataFrame:
-        """Rows (cls, sign, tree, node) handed on to one child, or two; which tokens a node selects depends on its name only."""
-
-        def child(i: int):
-            token = F.pmod(F.col("tree") * TOKENS + 2 * level + i, F.lit(tokens))
-            return F.xxhash64("node", token, F.get("sign", token))
-
-        second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(1000)) < F.lit(int(1000 * (1 / similarity - 1)))
-        named = F.when(second, F.array(child(0), child(1))).otherwise(F.array(child(0)))
-        return rows.select("cls", "tree", F.col("size").alias("above"), F.explode(named).alias("node"))
-
-    root = classes.select("cls", "sign", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    rows = children(root.withColumns({"node": F.xxhash64("tree"), "size": F.lit(None).cast("long")}), 0)
-    leaves: list[DataFrame] = []
-    stays: list[DataFrame] = []
-    # of near-copies of one text, each keeps its child with at least the threshold as chance; its square allows for the spread
-    unsplit = F.coalesce(F.col("size") >= F.lit(similarity**2) * F.col("above"), F.lit(False))
-    for level in range(1, depth + 1):
-        rows = staged(rows, "nodes")
-        sizes = staged(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        sized = rows.join(sizes, "node")
-        leaves.append(sized.where(F.col("size") <= small).select("node", "cls"))
-        large = staged(sized.where(F.col("size") > small).select("node", "tree", "cls", "size", unsplit.alias("unsplit")), "large")
-        stays.append(large.where("unsplit" if level < depth else "true").select("node", "cls"))
-        split = large.where("NOT unsplit")
-        if level == depth or split.isEmpty():
-            break
-        rows = children(split.join(classes.select("cls", "sign"), "cls"), level)
-    leaf = staged(reduce(DataFrame.unionByName, leaves).join(sketches, "cls"), "leaves")
-    large = staged(reduce(DataFrame.unionByName, stays).join(sketches, "cls"), "large")
-    found = "a long, b long, same long"
+    forest = Forest(classes, similarity, recall, small, depth)
+    leaf = staged(reduce(DataFrame.unionByName, forest.leaves).join(sketches, "cls"), "leaves")
+    large = staged(reduce(DataFrame.unionByName, forest.stays).join(sketches, "cls"), "large")
+    slim = staged(classes.drop("sign"), "slim")
+    discard(classes, *forest.used)
 
     def compared(every: bool, labels: DataFrame | None) -> DataFrame:
         with_label = leaf.withColumn("label", F.col("cls")) if labels is None else _labelled(leaf, labels)
         by_node = with_label.select("node", "cls", "n", "label", "sketch").repartition("node").sortWithinPartitions("node", "cls")
-        return by_node.mapInArrow(_comparer(tokens, least, sure, percent, every), found)
+        return by_node.mapInArrow(_comparer(width, least, sure, percent, every), "a long, b long, same long")
 
     # first wave: each class with one likely smaller partner in any small node, or the leader of a large one
     leader = staged(large.groupBy("node").agg(F.min_by(F.struct("cls", "n", "sketch"), F.xxhash64("node", "cls")).alias("of")), "leaders")
@@ -465,26 +493,67 @@ def near_dedup(
     )
     led = led.select(F.least("cls", "of.cls").alias("a"), F.greatest("cls", "of.cls").alias("b"), F.lit(-1).cast("long").alias("same"))
     best = compared(False, None).unionByName(led.distinct()).groupBy("b", (F.col("same") < 0).alias("_led")).agg(F.max(F.struct("same", F.bitwise_not("a").alias("neg"))).alias("best"))
-    first = _confirmed(docs, best.select(F.bitwise_not("best.neg").alias("a"), "b").distinct(), percent, words)
-    links = staged(first, "links")
+    pairs = staged(best.select(F.bitwise_not("best.neg").alias("a"), "b").distinct(), "candidates")
+    sets = _read_sets(docs, slim, pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))), words)
+    links = staged(_confirmed(sets, pairs, percent), "links")
+    discard(sets, pairs, leader)
     labels = connected_components(links)
 
     # second wave: classes with a candidate in another component meet again in their nodes, now with their sets
-    columns = ["node", "cls", "n", "label", "sketch", "shingles"]
+    columns = ["node", "cls", "n", "label", "sketch"]
     open_ = staged(compared(True, labels).select(F.col("a").alias("node"), F.col("b").alias("cls")), "open")
-    unsettled = None if large.isEmpty() else _unsettled(large, labels)
-    ids = open_.select("cls") if unsettled is None else open_.select("cls").unionByName(unsettled.select("cls"))
-    sets = _read_sets(docs, ids, words)
-    again = _labelled(open_.join(sketches, "cls"), labels).join(sets, "cls").select(columns).repartition("node").sortWithinPartitions("node", "cls")
-    second = again.mapInArrow(_node_links(tokens, least, percent), "u long, v long")
-    if unsettled is not None:
-        second = second.unionByName(_large_nodes(unsettled.join(sets, "cls"), tokens, least, percent))
+    known = _labelled(open_.join(sketches, "cls"), labels).select(columns)
+    heavy = staged(known.groupBy("node").agg(F.sum("n").alias("sum")).where(F.col("sum") * 8 > SHARE_BYTES).select("node"), "heavy")
+    few = staged(known.join(heavy, "node", "left_anti"), "few")
+    many = known.join(heavy, "node", "left_semi")
+    if not large.isEmpty():
+        apart = _dealt(_labelled(large, labels).select(columns), large_only=False)
+        meet = apart[0].groupBy(*KEY).cogroup(apart[1].groupBy(*KEY)).applyInPandas(_cross_open(width, least, percent), "node long, cls long")
+        many = many.unionByName(_labelled(large.join(meet.distinct(), ["node", "cls"], "left_semi"), labels).select(columns))
+    many = staged(many, "many")
+    discard(leaf, large)
+    sets = _read_sets(docs, slim, few.select("cls").unionByName(many.select("cls")), words)
+    again = few.join(sets, "cls").select(*columns, "shingles").repartition("node").sortWithinPartitions("node", "cls")
+    second = again.mapInArrow(_node_links(width, least, percent), "u long, v long")
+    if not many.isEmpty():
+        left, right = _dealt(many, large_only=True)
+        left, right = left.join(sets, "cls"), right.join(sets.select("cls", "shingles"), "cls")
+        left = left.select([F.col(c).alias(c) for c in left.columns])  # other columns than those of the right side
+        second = second.unionByName(left.groupBy(*KEY).cogroup(right.groupBy(*KEY)).applyInPandas(_cross(width, least, percent), "u long, v long"))
+    second = staged(second, "second")
+    discard(sets, few, many)
     labels = connected_components(second.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
 
-    of_class = staged(_labelled(classes.select("digest", "cls"), labels).select("digest", "label"), "components")
-    result = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
-    component = F.coalesce("label", "doc_id")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of_class = staged(_labelled(slim.select("digest", "rep", "cls"), labels).select("digest", "rep", "label"), "components")
+    reps = of_class.groupBy("label").agg(F.min("rep").alias("rep"))
+    return rows, staged(of_class.select("digest", "label").join(reps, "label").select("digest", "rep"), "reps")
+
+
+def near_dedup(
+    docs: DataFrame,
+    percent: int = 85,
+    words: int = WORDS,
+    recall: float = 0.9999,
+    small: int = SMALL,
+    depth: int = DEPTH,
+) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+
+    Texts are lower-cased (A-Z) and split at ASCII white space; a document's set holds its distinct shingles of
+    ``words`` words, or its whole sequence where it has fewer. Documents are linked whose sets share at least
+    ``percent`` hundredths of their union; ``component_id`` is the smallest doc_id reachable over links. Null, empty
+    and blank texts have no shingles and are linked with nothing, as are rows without doc_id; these stay. Rows that
+    repeat a doc_id with its text belong together; a doc_id with several texts names as many documents, whose components
+    stay apart even if they carry the same number. An empty table gives an empty result. ``recall`` is the chance to
+    meet a pair at exactly the threshold; more similar pairs are met more surely. Other columns are not read.
+    """
+    rows, reps = _components(docs, percent, words, recall, small, depth, all_rows=False)
+    result = rows.withColumn("digest", F.when(F.col("id").isNotNull(), F.col("digest"))).join(reps, "digest", "left")
+    component = F.coalesce("rep.id", "id")
+    return result.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+KEY = ["node", "chunk", "share"]
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -493,33 +562,42 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
-def _unsettled(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of nodes that stayed large and hold several components, with the largest of these and the deal of the rows."""
-    rows = staged(_labelled(large, labels), "labelled")
-    counts = rows.groupBy("node", "label").agg(F.count("*").alias("n_label"))
+def _dealt(rows: DataFrame, large_only: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows of nodes that hold several components, dealt so that any two unlinked ones meet: of two at least one is
+    outside the node's largest component (left) and meets all (right). Parts have bounded classes and, where sets
+    travel with them (``large_only``), bounded bytes of sets."""
+    rows = staged(rows, "labelled")
+    size = F.sum("n") * 8 if large_only else F.lit(0)
+    counts = rows.groupBy("node", "label").agg(F.count("*").alias("n_label"), size.alias("bytes"))
+    total = counts.groupBy("node").agg(F.sum("n_label").alias("n_all"), F.sum("bytes").alias("all_bytes"), F.max(F.struct("n_label", "label", "bytes")).alias("top")).where("n_all > top.n_label")
+    parts = lambda n, each, b: F.greatest(F.ceil(n / each), F.ceil(b / SHARE_BYTES))
     nodes = staged(
-        counts.groupBy("node")
-        .agg(F.sum("n_label").alias("n_all"), F.max(F.struct("n_label", "label")).alias("top"))
-        .where("n_all > top.n_label")
-        .select("node", F.col("top.label").alias("top"), F.ceil((F.col("n_all") - F.col("top.n_label")) / CHUNK).alias("chunks"), F.ceil(F.col("n_all") / SHARE).alias("shares")),
+        total.select(
+            "node",
+            F.col("top.label").alias("top"),
+            parts(F.col("n_all") - F.col("top.n_label"), CHUNK, F.col("all_bytes") - F.col("top.bytes")).alias("chunks"),
+            parts(F.col("n_all"), SHARE, F.col("all_bytes")).alias("shares"),
+        ),
         "apart",
     )
-    return staged(rows.join(nodes, "node"), "unsettled")
-
-
-def _large_nodes(known: DataFrame, width: int, least: int, percent: int) -> DataFrame:
-    """Links within nodes that stayed large: of two unlinked classes at least one is outside the node's largest component."""
-    right = known.withColumn("share", F.pmod(F.xxhash64("cls"), F.col("shares"))).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    left = known.where("label <> top").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks"))).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
-    key, columns = ["node", "chunk", "share"], ["node", "chunk", "share", "cls", "n", "label", "sketch", "shingles"]
-    left = left.select([F.col(c).alias(c) for c in columns])  # other columns than those of the right side
-    return left.groupBy(*key).cogroup(right.select(columns).groupBy(*key)).applyInPandas(_cross(width, least, percent), "u long, v long")
+    dealt = staged(rows.join(nodes, "node"), "unsettled")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = [*KEY, "cls", "n", "label", "sketch"]
+    right = dealt.withColumn("share", F.pmod(F.xxhash64("cls"), F.col("shares"))).withColumn("chunk", each("chunks")).select(columns)
+    left = dealt.where("label <> top").withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks"))).withColumn("share", each("shares"))
+    return left.select([F.col(c).alias(c) for c in columns]), right  # other columns than those of the right side
 
 
 def drop_near_copies(docs: DataFrame, percent: int = 85, words: int = WORDS) -> DataFrame:
-    """``docs`` with one document of each group; doc_id must be unique, as in ``documents``."""
-    dropped = near_dedup(docs, percent, words).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-copies, with all its columns: that with the smallest doc_id, then hash of the text.
+
+    Every row is judged by its own text, so one doc_id may name several texts; rows without doc_id take part and stay only
+    where no other row of their group has one. Rows that repeat doc_id and text are there once, blank ones too; other
+    blank texts stay. No documents, no rows.
+    """
+    rows, reps = _components(docs, percent, words, 0.9999, SMALL, DEPTH, all_rows=True)
+    stays = F.col("rep").isNull() | (F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("h") == F.col("rep.h")))
+    return without(docs, rows.join(reps, "digest", "left").select("id", "h", (~stays).alias("drop")))
 
 
 ORACLE_SQL = r"""
