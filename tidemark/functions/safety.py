@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # ---- fixed values ----------------------------------------------------------------------------------------------------
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -32,6 +34,24 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, SSN, "[SSN]")
 
 
+def redacted_value(col: Column, kind: DataType) -> Column:
+    """``col`` with every text in it redacted, at any depth of arrays, structs and maps; keys of maps stay."""
+    if isinstance(kind, StringType):
+        return redact(col)
+    if isinstance(kind, ArrayType):
+        return F.transform(col, lambda x: redacted_value(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(col, lambda _, v: redacted_value(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(col.isNotNull(), F.struct(*[redacted_value(col[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return col
+
+
+def redacted(rows: DataFrame) -> DataFrame:
+    """Rows with every text in every column redacted."""
+    return rows.select(*[redacted_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema.fields])
+
+
 def for_display(text: Column, most: int = DISPLAY_CHARS) -> Column:
     """Without control characters but tab, line feed and carriage return; cut with three dots. Null gives an empty text."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F]", "")
@@ -57,13 +77,16 @@ def checked_id(conversation_id: Column) -> Column:
     return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
 
-def intent(text: Column) -> Column:
-    """``question`` or ``statement``: a question mark anywhere, or how the text begins."""
+def intent(text: Column, said: Column | None = None) -> Column:
+    """``question`` or ``statement``: a question mark anywhere, a sure beginning, what a model said, then a likely beginning.
+
+    ``said`` is a model's answer, null where it gave none; it decides if it names one of the two.
+    """
     low = F.lower(F.trim(text))
-    asks = text.contains("?")
-    for start in DEFINITE_QUESTIONS + LIKELY_QUESTIONS:
-        asks = asks | low.startswith(start)
-    return F.when(asks, "question").otherwise("statement")
+    starts = lambda words: reduce(lambda a, w: a | low.startswith(w), words, F.lit(False))
+    word = F.lower(F.trim(said)) if said is not None else F.lit(None).cast("string")
+    likely = F.when(starts(LIKELY_QUESTIONS), "question").otherwise("statement")
+    return F.when(text.contains("?") | starts(DEFINITE_QUESTIONS), "question").when(word.isin("question", "statement"), word).otherwise(likely)
 
 
 # ---- on the driver

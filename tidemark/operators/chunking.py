@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,33 @@ def build_chunks(turns: DataFrame, strategy: str, window: int = 3, context: int
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
+@dataclass(frozen=True)
+class Semantic:
+    """How turns are grouped by meaning; values out of range are errors."""
+
+    threshold: float = COSINE
+    mode: str = "previous"
+    most: int | None = None
+    least: int = 1
+    text_chars: int | None = None
+
+    def __post_init__(self):
+        if self.mode not in ("previous", "centroid"):
+            raise ValueError(f"unknown mode {self.mode!r}")
+        if not -1 <= self.threshold <= 1:
+            raise ValueError("threshold must lie in [-1, 1]")
+        if self.least < 1 or (self.most is not None and self.most < self.least):
+            raise ValueError("1 <= least <= most")
+        if self.text_chars is not None and self.text_chars < 1:
+            raise ValueError("text_chars must be at least 1")
+
+    def breaks(self, turns: DataFrame, key: str = "conversation_id", order: str = "turn_index") -> DataFrame:
+        """``key, order, chunk_no`` of turns with a vector."""
+        if self.mode == "previous":
+            return semantic_breaks(turns, self.threshold, key=key, order=order).select(key, order, "chunk_no")
+        return centroid_breaks(turns, self.threshold, self.most, self.least, key, order)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

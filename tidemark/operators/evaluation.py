@@ -134,10 +134,43 @@ def coverage(gold: DataFrame, covered: DataFrame) -> DataFrame:
     return joined.rollup("category").agg(F.count("*").alias("n_gold"), F.count("_known").alias("n_covered"), F.round(F.count("_known") / F.count("*"), 4).alias("coverage"))
 
 
+def missing(gold: DataFrame, covered: DataFrame, most: int = 50) -> DataFrame:
+    """``category, conversation_id, dia_id``: the first gold turns that no unit quotes, in that order."""
+    each = gold.select("query_id", "conversation_id", "category", F.explode(F.array_distinct("gold")).alias("dia_id"))
+    known = covered.select("conversation_id", "dia_id").distinct()
+    return each.join(known, ["conversation_id", "dia_id"], "left_anti").orderBy("category", "conversation_id", "dia_id", "query_id").limit(most).select("category", "conversation_id", "dia_id")
+
+
+def top_index(hits: DataFrame, column: str = "dia_id", most: int = 10) -> DataFrame:
+    """``qa_id, top<most>``: of each question the best hits (qa_id, rank), in order."""
+    listed = hits.where(F.col("rank") <= most).groupBy("qa_id").agg(F.array_sort(F.collect_list(F.struct("rank", column))).alias("_h"))
+    return listed.select("qa_id", F.col(f"_h.{column}").alias(f"top{most}"))
+
+
+def memory_metrics(predictions: DataFrame, *keys: str) -> DataFrame:
+    """Metrics of a run of the memory: those of answers, of grounding and guard, units a question, and latencies.
+
+    Predictions: f1, exact_match, evidence_recall, grounding_score, passed, n_units, total_ms; only latencies above 0 count.
+    """
+    avg = lambda c, places=4: F.round(F.coalesce(F.avg(c), F.lit(0.0)), places)
+    more = predictions.groupBy(*keys).agg(
+        avg("grounding_score").alias("avg_grounding"), avg(F.col("passed").cast("double")).alias("guard_pass_rate"), avg("n_units", 2).alias("avg_units"),
+        F.round(F.avg("total_ms"), 4).alias("mean_ms"),
+    )
+    answers, timed = run_metrics(predictions, *keys), latency_percentiles(predictions.where("total_ms > 0"), "total_ms", *keys).drop("n", "mean")
+    if not keys:
+        return answers.crossJoin(F.broadcast(more)).crossJoin(F.broadcast(timed))  # single rows
+    return answers.join(more, list(keys)).join(timed, list(keys), "left")
+
+
 def usage_metrics(predictions: DataFrame) -> DataFrame:
     """Mean tokens and retrieved chunks over predictions (input_tokens, output_tokens, n_chunks), rounded as in reports."""
     avg = lambda c, places: F.round(F.coalesce(F.avg(c), F.lit(0.0)), places)
-    return predictions.agg(F.count("*").alias("n"), avg("input_tokens", 1).alias("avg_input_tokens"), avg("output_tokens", 1).alias("avg_output_tokens"), avg("n_chunks", 2).alias("avg_chunks"))
+    out = predictions.agg(F.count("*").alias("n"), avg("input_tokens", 1).alias("avg_input_tokens"), avg("output_tokens", 1).alias("avg_output_tokens"), avg("n_chunks", 2).alias("avg_chunks"))
+    if "generation_ms" not in predictions.columns:
+        return out
+    timed = latency_percentiles(predictions.where("generation_ms > 0"), "generation_ms").select(F.col("mean").alias("mean_ms"), "p50", "p95")
+    return out.crossJoin(F.broadcast(timed))  # single rows
 
 
 def covered_turns(units: DataFrame) -> DataFrame:

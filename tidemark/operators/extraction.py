@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,42 @@ CODE_FENCE = r"(?im)^```(?:json)?\s*|\s*```$"
 MOST_FACTS, LEAST_CHARS, MOST_CHARS, SPEAKER_CHARS = 7, 10, 300, 80
 # ----------------------------------------------------------------------------------------------------------------------
 
+#: Our own words; no result depends on them.
+EXTRACTION_RULES = (
+    "List what the excerpt states about its speakers, as JSON {\"facts\": [{\"claim\", \"speaker\", \"source_dia_id\"}]}, at most %d of them, each a full sentence that can be read alone. "
+    "Leave out questions, wishes and small talk.\n\nExcerpt:\n"
+)
+
+
+@dataclass(frozen=True)
+class Extractor:
+    """How facts are extracted; values out of range are errors."""
+
+    most_facts: int = MOST_FACTS
+    mode: str = "rules"
+    confidence: float = 0.9
+    fallback_confidence: float = 0.5
+
+    def __post_init__(self):
+        if self.mode not in ("rules", "model"):
+            raise ValueError(f"unknown mode {self.mode!r}")
+        if not 1 <= self.most_facts <= 50:
+            raise ValueError("most_facts must lie in 1 to 50")
+        if not 0 <= self.fallback_confidence <= 1 or not 0 <= self.confidence <= 1:
+            raise ValueError("confidences must lie in 0 to 1")
+
+    def prompts(self, chunks: DataFrame) -> DataFrame:
+        """``id, prompt`` of chunks, for a model."""
+        return chunks.select(F.col("chunk_id").alias("id"), F.concat(F.lit(EXTRACTION_RULES % self.most_facts), F.col("text")).alias("prompt"))
+
+    def facts(self, chunks: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+        """Facts of chunks, by a model's answers (id, content) if the mode asks for them, else by rules."""
+        if self.mode == "model" and answers is None:
+            raise ValueError("mode model needs answers")
+        payloads = answers.select(F.col("id").alias("chunk_id"), F.col("content").alias("payload")) if self.mode == "model" else None
+        return extract_facts(chunks, payloads, self.most_facts)
+
+
 FACTS = "array<struct<claim:string,speaker:string,source_dia_id:string>>"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,10 +64,15 @@ def fresh_only(hits: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.join(stale, ["query_id", "mu_id"], "left_anti").select(hits.columns)
 
 
-def hydrated(fused: DataFrame, units: DataFrame, pool: int, keep_forgotten: Column | None = None) -> DataFrame:
-    """Fused rows joined with their units; forgotten ones go unless ``keep_forgotten``; then the pool's best stay."""
-    facts = units.select("mu_id", "conversation_id", "claim", "status", "salience", "confidence", "source_dia_ids")
-    known = fused.join(facts, "mu_id").where((F.col("status") != "forgotten") | (keep_forgotten if keep_forgotten is not None else F.array_contains("sources", "forgotten")))
+def hydrated(fused: DataFrame, units: DataFrame, pool: int, keep_forgotten: Column | None = None, transient: DataFrame | None = None) -> DataFrame:
+    """Fused rows joined with their units; forgotten ones go unless ``keep_forgotten``; then the pool's best stay.
+
+    ``transient`` has the stand-ins of hits that are no units (query_id, mu_id and a unit's facts).
+    """
+    facts = ["conversation_id", "claim", "status", "salience", "confidence", "source_dia_ids"]
+    known = fused.join(units.select("mu_id", *facts), "mu_id").where((F.col("status") != "forgotten") | (keep_forgotten if keep_forgotten is not None else F.array_contains("sources", "forgotten")))
+    if transient is not None:
+        known = known.unionByName(fused.join(transient.select("query_id", "mu_id", *facts), ["query_id", "mu_id"]).select(known.columns))
     return top(known, pool, F.desc(F.col("rrf_score") + SALIENCE_WEIGHT * F.col("salience")), F.col("mu_id"))
 
 
@@ -82,16 +88,43 @@ def overlap_score(question: Column, text: Column) -> Column:
 
 
 def candidate_text(most: int = CANDIDATE_CHARS) -> Column:
-    """Metadata, claim, original text and label of a hit in one passage, without what is contained already."""
+    """Metadata, claim, original text, label and neighbouring turns of a hit in one passage, without what is contained already.
+
+    Columns: session_id, source_speaker, timestamp, claim, original_text, label_summary, context_text; any may be null.
+    """
     part = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name), c))
     meta = F.concat_ws(" | ", part("Session:", F.col("session_id")), part("Speaker:", F.col("source_speaker")), part("Time:", F.substring(F.col("timestamp"), 1, 10)))
-    claim, original, label = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("claim", "original_text", "label_summary"))
+    claim, original, label, near = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("claim", "original_text", "label_summary", "context_text"))
     return F.substring(F.concat_ws(
         " ", F.when(meta != "", F.concat(F.lit("["), meta, F.lit("]"))), F.when(claim != "", claim), F.when((original != "") & ~claim.contains(original), original),
         F.when((label != "") & ~claim.contains(label) & ~original.contains(label), label),
+        F.when((near != "") & ~claim.contains(near) & ~original.contains(near) & ~label.contains(near), near),
     ), 1, most)
 
 
+def model_scores(pairs: DataFrame, backend: Callable[[list[str], list[str]], list[float]]) -> DataFrame:
+    """``query_id, mu_id, ce`` of pairs (query_id, mu_id, question, passage) by a cross-encoder that scores lists; null where it fails."""
+
+    def run(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            try:
+                scores = [float(x) for x in backend(pdf["question"].tolist(), pdf["passage"].tolist())]
+            except Exception:  # whatever a model raises: the caller falls back
+                scores = [None] * len(pdf)
+            yield pdf[["query_id", "mu_id"]].assign(ce=scores)
+
+    kinds = dict(pairs.dtypes)
+    return pairs.select("query_id", "mu_id", "question", "passage").mapInPandas(run, f"query_id {kinds['query_id']}, mu_id {kinds['mu_id']}, ce double")
+
+
+def reranked_or_fused(hits: DataFrame, k: int, per_turn: int = PER_TURN) -> DataFrame:
+    """As :func:`reranked`; queries of which any hit has no score keep their fused order, cut to k."""
+    lost = hits.groupBy("query_id").agg(F.bool_or(F.col("ce").isNull()).alias("_lost")).where("_lost").select("query_id")
+    scored = reranked(hits.join(lost, "query_id", "left_anti").select(hits.columns), k, per_turn)
+    plain = top(hits.join(lost, "query_id", "left_semi").select(hits.columns), k, F.col("rank")) if "rank" in hits.columns else top(hits.join(lost, "query_id", "left_semi").select(hits.columns), k)
+    return scored.unionByName(plain.withColumn("final_score", F.lit(None).cast("double")).select(scored.columns))
+
+
 def reranked(hits: DataFrame, k: int, per_turn: int = PER_TURN) -> DataFrame:
     """The k best by ``3 minmax(ce) + rrf / max(rrf) + 0.02 salience + 0.01 confidence - 0.10 [superseded]``.
 
@@ -154,5 +187,6 @@ def transient_units(hits: DataFrame, turns: DataFrame) -> DataFrame:
     lone = hits.where(F.col("mu_id").startswith("se_")).withColumn("dia_id", F.substring("mu_id", 4, 1 << 20))
     return lone.join(turns, ["conversation_id", "dia_id"]).select(
         "query_id", "mu_id", "conversation_id", F.concat(F.col("speaker"), F.lit(": "), F.col("text")).alias("claim"), F.array("dia_id").alias("source_dia_ids"), F.col("speaker").alias("source_speaker"),
+        "session_id", "timestamp",
         F.lit(0.5).alias("salience"), F.lit(0.5).alias("confidence"), F.lit("active").alias("status"),
     )

@@ -48,15 +48,17 @@ def degrees(units: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def betweenness(units: DataFrame, edges: DataFrame) -> DataFrame:
-    """``conversation_id, mu_id, betweenness``: exact, normalised, per conversation, along directed edges.
+def betweenness(units: DataFrame, edges: DataFrame, sources: int | None = None) -> DataFrame:
+    """``conversation_id, mu_id, betweenness``: normalised, per conversation, along directed edges.
 
     Shortest paths need a search from every node, so each conversation, bounded by its capacity, is solved by itself.
+    ``sources`` asks for the sampled measure: searches start at so many nodes, chosen by hash, and are scaled up.
     """
     of = units.select("conversation_id", "mu_id")
     inner = edges.select("source_mu_id", "target_mu_id").join(of.withColumnRenamed("mu_id", "source_mu_id"), "source_mu_id").select("conversation_id", "source_mu_id", "target_mu_id")
 
     def solve(left, right):
+        import hashlib
         from collections import deque
 
         import pandas as pd
@@ -66,7 +68,8 @@ def betweenness(units: DataFrame, edges: DataFrame) -> DataFrame:
         for s, t in zip(right["source_mu_id"], right["target_mu_id"], strict=True):
             out[s].add(t)
         score = dict.fromkeys(names, 0.0)
-        for start in names:
+        chosen = names if sources is None or sources >= len(names) else sorted(names, key=lambda x: hashlib.md5(str(x).encode()).digest())[:sources]
+        for start in chosen:
             order, paths, dist, back = [], {start: 1.0}, {start: 0}, {}
             queue = deque([start])
             while queue:
@@ -86,7 +89,7 @@ def betweenness(units: DataFrame, edges: DataFrame) -> DataFrame:
                 if w != start:
                     score[w] += share[w]
         n = len(names)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+        scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 1.0) * n / max(1, len(chosen))
         conversation = (left if len(left) else right)["conversation_id"].iloc[0]
         return pd.DataFrame({"conversation_id": conversation, "mu_id": names, "betweenness": [round(score[x] * scale, 9) for x in names]})
 
@@ -95,6 +98,24 @@ def betweenness(units: DataFrame, edges: DataFrame) -> DataFrame:
     return of.groupBy("conversation_id").cogroup(inner.groupBy("conversation_id")).applyInPandas(solve, f"conversation_id {kind['conversation_id']}, mu_id {kind['mu_id']}, betweenness double")
 
 
+def with_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges with new ones; of equal ends and type the new one stays."""
+    key = ["source_mu_id", "target_mu_id", "edge_type"]
+    once = new.dropDuplicates(key)
+    return edges.join(once.select(key), key, "left_anti").select(edges.columns).unionByName(once, allowMissingColumns=True).select(edges.columns)
+
+
+def without_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without those named (source_mu_id, target_mu_id, and edge_type if it has one)."""
+    key = [c for c in ("source_mu_id", "target_mu_id", "edge_type") if c in gone.columns]
+    return edges.join(gone.select(key).distinct(), key, "left_anti").select(edges.columns)
+
+
+def with_nodes(units: DataFrame, new: DataFrame) -> DataFrame:
+    """Nodes (mu_id, ...) with new ones, which replace those of the same id."""
+    return units.join(new.select("mu_id"), "mu_id", "left_anti").select(units.columns).unionByName(new, allowMissingColumns=True).select(units.columns)
+
+
 def without_nodes(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """Edges that touch none of the named units (mu_id)."""
     drop = lambda e, end: e.join(gone.select(F.col("mu_id").alias(end)), end, "left_anti").select(edges.columns)

@@ -51,6 +51,16 @@ def token_bucket(events: DataFrame, per_second: float, burst: float, key: str =
     return rows.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {tie} {kinds[tie]}, accepted boolean")
 
 
+def counters(events: DataFrame, *keys: str, value: str = "value") -> DataFrame:
+    """``keys, n, total``: how often a metric was counted, and its sum."""
+    return events.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+def gauges(events: DataFrame, *keys: str, value: str = "value", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """``keys, last``: the last value of a metric."""
+    return events.groupBy(*keys).agg(F.max_by(value, F.struct(ts, tie)).alias("last"))
+
+
 def health(checks: DataFrame) -> DataFrame:
     """``status`` of all checks (name, status): healthy if all are, unhealthy if any is, else degraded."""
     s = F.col("status")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import claims as C
@@ -55,14 +57,39 @@ def relationship(a: str = "a", b: str = "b", nli: dict[str, Column] | None = Non
     return kind, confidence
 
 
-def compared(older: DataFrame, newer: DataFrame) -> DataFrame:
+#: A language-inference model: lists of premises and hypotheses to rows of contradiction, entailment, neutral.
+Inference = Callable[[list[str], list[str]], list[tuple[float, float, float]]]
+
+
+def model_inference(pairs: DataFrame, model: Inference) -> DataFrame:
+    """Pairs (a, b) with ``_con`` and ``_ent`` of a model, null where it can't be loaded or fails."""
+    kinds = dict(pairs.select(F.col("a.mu_id").alias("x"), F.col("b.mu_id").alias("y")).dtypes)
+
+    def run(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            try:
+                scores = [(float(c), float(e)) for c, e, _ in model(pdf["p"].tolist(), pdf["h"].tolist())]
+            except Exception:  # whatever a model raises: the rules decide
+                scores = [(None, None)] * len(pdf)
+            yield pdf[["x", "y"]].assign(_con=[s[0] for s in scores], _ent=[s[1] for s in scores])
+
+    asked = pairs.select(F.col("a.mu_id").alias("x"), F.col("b.mu_id").alias("y"), F.col("a.claim").alias("p"), F.col("b.claim").alias("h"))
+    found = asked.mapInPandas(run, f"x {kinds['x']}, y {kinds['y']}, _con double, _ent double")
+    return pairs.join(found, (F.col("a.mu_id") == F.col("x")) & (F.col("b.mu_id") == F.col("y")))
+
+
+def compared(older: DataFrame, newer: DataFrame, model: Inference | None = None) -> DataFrame:
     """All pairs of one conversation with the older unit first: ``mu_a_id, mu_b_id, relationship, confidence``.
 
     Both need conversation_id, seq, mu_id, claim. Conversations are bounded by the capacity of their memory, so the pairs
-    of one are bounded too.
+    of one are bounded too. With a ``model`` its scores decide, and the rules wherever it fails.
     """
     pairs = described(older).alias("a").join(described(newer).alias("b"), (F.col("a.conversation_id") == F.col("b.conversation_id")) & (F.col("a.seq") < F.col("b.seq")))
-    kind, confidence = relationship()
+    if model is None:
+        kind, confidence = relationship()
+    else:
+        pairs, rules = model_inference(pairs, model), inference("a", "b")
+        kind, confidence = relationship(nli={"contradiction": F.coalesce("_con", rules["contradiction"]), "entailment": F.coalesce("_ent", rules["entailment"])})
     return pairs.select(
         F.col("a.conversation_id").alias("conversation_id"), F.col("a.mu_id").alias("mu_a_id"), F.col("b.mu_id").alias("mu_b_id"),
         kind.alias("relationship"), F.round(confidence, 6).alias("confidence"),
@@ -99,6 +126,16 @@ def new_edges(wanted: DataFrame, existing: DataFrame | None = None) -> DataFrame
     return once if existing is None else once.join(existing.select(key), key, "left_anti")
 
 
+def edge_outcomes(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """Wanted edges with ``outcome``: ``created``, ``edge_exists`` for one that is there or comes twice, ``edge_failed`` without two ends."""
+    key = ["source_mu_id", "target_mu_id", "edge_type"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    there = existing.select(key).distinct().withColumn("_there", F.lit(True))
+    marked = wanted.withColumn("_n", nth).join(there, key, "left")
+    bad = F.col("source_mu_id").isNull() | F.col("target_mu_id").isNull() | F.col("edge_type").isNull() | (F.col("source_mu_id") == F.col("target_mu_id"))
+    return marked.withColumn("outcome", F.when(bad, "edge_failed").when(F.coalesce("_there", F.lit(False)) | (F.col("_n") > 1), "edge_exists").otherwise("created")).drop("_n", "_there")
+
+
 def counters(comparisons: DataFrame) -> DataFrame:
     """Per conversation: conflicts, updates, related, and the edges they make."""
     r = F.col("relationship")

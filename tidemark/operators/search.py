@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.words import retrieval_tokens
 from tidemark.operators.chunking import dot
+from tidemark.sources.scratch import staged
 
 # fixed values: the usual parameters of Okapi BM25
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -21,12 +22,25 @@ def unit_vector(v: Column) -> Column:
 
 
 def hashed_vector(tokens: Column, dim: int = 64) -> Column:
-    """A deterministic embedding: signed counts of hashed tokens, scaled to length 1."""
-    slot = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    sign = F.transform(tokens, lambda t: F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0))
-    pairs = F.arrays_zip(slot.alias("slot"), sign.alias("sign"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when(p["slot"] == i, p["sign"]).otherwise(0.0)))
-    return unit_vector(raw)
+    """A deterministic embedding: signed counts of tokens hashed by MD5, scaled to length 1."""
+    digits = lambda t, at, n: F.conv(F.substring(F.md5(t.cast("binary")), at, n), 16, 10).cast("long")
+    pairs = F.transform(tokens, lambda t: F.struct((digits(t, 1, 8) % dim).alias("slot"), F.when(digits(t, 9, 1) < 8, 1.0).otherwise(-1.0).alias("sign")))
+    count = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(held, F.lit(0.0), lambda s, p: s + F.when(p["slot"] == i, p["sign"]).otherwise(0.0)))
+    # arrays of one, so that tokens are hashed and counted once
+    return F.get(F.transform(F.transform(F.array(pairs), count), unit_vector), F.lit(0))
+
+
+def embedded(rows: DataFrame, text: Column, known: DataFrame | None = None, dim: int = 64) -> DataFrame:
+    """Rows with ``vector``: that of ``known`` (key, vector) for the text's key, else the hashed one.
+
+    ``known`` is a cache or the output of a model; the key is the text's SHA-256.
+    """
+    hashed = hashed_vector(retrieval_tokens(text), dim)
+    if known is None:
+        return rows.withColumn("vector", hashed)
+    vectors = known.select(F.col("key").alias("_key"), F.col("vector").alias("_vector"))
+    joined = rows.withColumn("_key", F.sha2(text, 256)).join(vectors, "_key", "left")
+    return joined.withColumn("vector", F.coalesce("_vector", hashed)).drop("_key", "_vector")
 
 
 def label_text() -> Column:
@@ -38,7 +52,7 @@ def dense_topk(queries: DataFrame, units: DataFrame, k: int, scope: str | None =
     """``query_id, rank, mu_id, score``: largest inner products, exact, within the query's scope, ties to the smaller id.
 
     Queries: query_id, vector and the scope column; units: mu_id, vector and the scope column. A scope that no unit has
-    gives no rows. Without a scope every query meets every unit, in blocks.
+    gives no rows. Without a scope every query meets every unit: a stated set of queries against all rows.
     """
     q, u = queries.alias("q"), units.alias("u")
     on = (F.col(f"q.{scope}") == F.col(f"u.{scope}")) if scope else F.lit(True)
@@ -59,7 +73,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", tex
     in N; scopes in which none has tokens give no rows.
     """
     by = [scope] if scope else []
-    read = _terms(docs, [doc_id, *by], text).withColumn("_len", F.size("_tokens"))
+    read = staged(_terms(docs, [doc_id, *by], text).withColumn("_len", F.size("_tokens")), "tokens")  # read three times
     total = read.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
     df = read.select(*by, F.explode(F.array_distinct("_tokens")).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("_df"))
     # without a scope these are single rows and may be broadcast; with one they grow with it, and the planner decides

@@ -7,8 +7,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import staged
+
 STATUSES = ["active", "compressed", "archived", "forgotten"]
-LABEL_CHARS, IDLE_DAYS, MOST_RETRIEVALS = 120, 30, 1_000_000
+LABEL_CHARS, LABEL_LEAST, IDLE_DAYS, MOST_RETRIEVALS = 120, 10, 30, 1_000_000
 
 UNIT_SCHEMA = (
     "mu_id string, conversation_id string, session_id string, claim string, original_text string, source_dia_ids array<string>, source_speaker string, "
@@ -17,7 +19,7 @@ UNIT_SCHEMA = (
 )
 LABEL_SCHEMA = (
     "label_id string, archived_pointer string, mu_id string, conversation_id string, topic string, short_summary string, key_entities array<string>, "
-    "original_dia_ids array<string>, compressed_at timestamp, retrieval_count long, last_label_match timestamp"
+    "original_dia_ids array<string>, compressed_at timestamp, retrieval_count long, last_label_match timestamp, time_range string"
 )
 ARCHIVE_SCHEMA = "archived_entry_id string, label_pointer string, mu_id string, conversation_id string, full_memory_unit_json string, archived_at timestamp, restoration_count long"
 EDGE_SCHEMA = "source_mu_id string, target_mu_id string, edge_type string, weight double, metadata_json string"
@@ -38,9 +40,25 @@ def empty_memory(spark) -> Memory:
     return Memory(*(spark.createDataFrame([], s) for s in (UNIT_SCHEMA, LABEL_SCHEMA, ARCHIVE_SCHEMA, EDGE_SCHEMA, AUDIT_SCHEMA)))
 
 
-def inserted(units: DataFrame, new: DataFrame) -> DataFrame:
-    """Units with new ones; a new id that exists is an error that :func:`repeated_ids` shows."""
-    return units.unionByName(new, allowMissingColumns=True)
+def staged_memory(memory: Memory) -> Memory:
+    """All tables written to the shared folder, so that the next batch starts from them."""
+    return Memory(*(staged(t, name) for name, t in zip(Memory._fields, memory, strict=True)))
+
+
+def inserted(units: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
+    """Units with new ones. ``strict`` raises on an id that exists or comes twice; else :func:`repeated_ids` shows it."""
+    out = units.unionByName(new, allowMissingColumns=True)
+    if strict and (bad := repeated_ids(out).limit(1).collect()):
+        raise ValueError(f"id exists already: {bad[0][0]}")
+    return out
+
+
+def looked_up(units: DataFrame, ids: DataFrame, key: str = "mu_id", required: bool = False) -> DataFrame:
+    """One row an id with ``found`` and its unit's columns, null where there is none; ``required`` raises then."""
+    out = ids.select(key).distinct().join(units.withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    if required and (lost := out.where("NOT found").limit(1).collect()):
+        raise KeyError(lost[0][key])
+    return out
 
 
 def repeated_ids(units: DataFrame, key: str = "mu_id") -> DataFrame:
@@ -92,19 +110,37 @@ def storage_pressure(units: DataFrame, capacity: int) -> DataFrame:
     return units.groupBy("conversation_id").agg(active.alias("n_active"), F.round(share, 6).alias("pressure"))
 
 
-def listed(units: DataFrame, status: str | None = None) -> DataFrame:
-    found = units if status is None else units.where(F.col("status") == status)
-    return found.orderBy("created_at", "mu_id")
-
-
-def labels_for(units: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """Labels and archive entries of units about to be compressed; the archive keeps the whole row as JSON."""
+def listed(rows: DataFrame, status: str | list[str] | None = None, conversation: str | None = None, layers: bool = False) -> DataFrame:
+    """Rows of a table, of some statuses and one conversation if asked; ``layers`` renames statuses to the four layers."""
+    found = rows
+    if status is not None:
+        found = found.where(F.col("status").isin([status] if isinstance(status, str) else status))
+    if conversation is not None:
+        found = found.where(F.col("conversation_id") == conversation)
+    if layers:
+        found = found.withColumn("status", layer())
+    order = [c for c in ("created_at", "compressed_at", "archived_at", "mu_id", "source_mu_id", "target_mu_id") if c in rows.columns]
+    return found.orderBy(*order)
+
+
+def labels_for(units: DataFrame, now: Column, summaries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labels and archive entries of units about to be compressed; the archive keeps the whole row as JSON.
+
+    ``summaries`` (mu_id, summary) are a model's; those that are missing or below ``LABEL_LEAST`` characters fall back to the
+    claim, cut.
+    """
+    if summaries is not None:
+        units = units.join(summaries.select("mu_id", F.trim("summary").alias("_summary")), "mu_id", "left")
+        short = F.when(F.length("_summary") >= LABEL_LEAST, F.col("_summary")).otherwise(F.substring("claim", 1, LABEL_CHARS))
+    else:
+        units, short = units.withColumn("_summary", F.lit(None).cast("string")), F.substring("claim", 1, LABEL_CHARS)
+    time_range = F.coalesce(F.col("timestamp").cast("string"), F.lit("")) if "timestamp" in units.columns else F.lit("")
     name = lambda kind: F.concat(F.lit(f"{kind}_"), F.substring(F.sha2(F.concat_ws("|", F.lit(kind), "mu_id"), 256), 1, 16))
-    whole = F.to_json(F.struct(*units.columns))
+    whole = F.to_json(F.struct(*[c for c in units.columns if c != "_summary"]))
     labels = units.select(
-        name("label").alias("label_id"), name("archive").alias("archived_pointer"), "mu_id", "conversation_id", "topic", F.substring("claim", 1, LABEL_CHARS).alias("short_summary"),
+        name("label").alias("label_id"), name("archive").alias("archived_pointer"), "mu_id", "conversation_id", "topic", short.alias("short_summary"),
         F.col("entities").alias("key_entities"), F.col("source_dia_ids").alias("original_dia_ids"), now.alias("compressed_at"), F.lit(0).cast("long").alias("retrieval_count"),
-        F.lit(None).cast("timestamp").alias("last_label_match"),
+        F.lit(None).cast("timestamp").alias("last_label_match"), time_range.alias("time_range"),
     )
     archives = units.select(
         name("archive").alias("archived_entry_id"), name("label").alias("label_pointer"), "mu_id", "conversation_id", whole.alias("full_memory_unit_json"), now.alias("archived_at"),
@@ -113,14 +149,43 @@ def labels_for(units: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     return labels, archives
 
 
-def compressed(memory: Memory, chosen: DataFrame, now: Column) -> Memory:
-    """Chosen active units become archived with a label and an archive entry."""
+def compressed(memory: Memory, chosen: DataFrame, now: Column, summaries: DataFrame | None = None, strict: bool = False) -> Memory:
+    """Chosen active units become archived with a label and an archive entry that point to each other.
+
+    ``strict`` raises if one of them can't be; else :func:`compression_results` tells which.
+    """
+    if strict and (bad := compression_results(memory, chosen).where("NOT ok").limit(1).collect()):
+        raise ValueError(f"{bad[0]['mu_id']}: {bad[0]['error']}")
     moving = memory.units.where("status = 'active'").join(chosen.select("mu_id"), "mu_id", "left_semi").select(memory.units.columns)
-    labels, archives = labels_for(moving, now)
+    labels, archives = labels_for(moving, now, summaries)
     change = labels.select("mu_id", F.lit("archived").alias("status"), F.col("label_id").alias("compressed_label_id"), F.col("archived_pointer").alias("archived_entry_id"), now.alias("updated_at"))
     return memory._replace(units=overlaid(memory.units, change), labels=memory.labels.unionByName(labels), archives=memory.archives.unionByName(archives))
 
 
+def compression_results(memory: Memory, chosen: DataFrame) -> DataFrame:
+    """``mu_id, ok, error`` of what compressing would do to each chosen id."""
+    found = looked_up(memory.units.select("mu_id", "status"), chosen)
+    error = F.when(~F.col("found"), "unit not found").when(F.col("status") != "active", "status is not active")
+    return found.select("mu_id", error.isNull().alias("ok"), error.alias("error"))
+
+
+def mismatched_pointers(labels: DataFrame, archives: DataFrame) -> DataFrame:
+    """``mu_id`` of labels and archive entries of one unit that do not name each other."""
+    both = labels.select("mu_id", "label_id", "archived_pointer").join(archives.select("mu_id", "archived_entry_id", "label_pointer"), "mu_id", "full")
+    right = (F.col("label_id") == F.col("label_pointer")) & (F.col("archived_entry_id") == F.col("archived_pointer"))
+    return both.where(~F.coalesce(right, F.lit(False))).select("mu_id")
+
+
+def entries_of(table: DataFrame, units: DataFrame) -> DataFrame:
+    """Labels or archive entries of the named units (mu_id)."""
+    return table.join(units.select("mu_id").distinct(), "mu_id", "left_semi").select(table.columns)
+
+
+def without_entries(table: DataFrame, units: DataFrame) -> DataFrame:
+    """Labels or archive entries but those of the named units."""
+    return table.join(units.select("mu_id").distinct(), "mu_id", "left_anti").select(table.columns)
+
+
 def _moved(memory: Memory, chosen: DataFrame, status: str, now: Column, reindex: bool) -> Memory:
     none = F.lit(None).cast("string")
     ids = chosen.select("mu_id").distinct()

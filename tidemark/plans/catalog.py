@@ -717,7 +717,7 @@ def ask_batch(spark, d):
     turns = _dialogue(spark, d)
     units, edges = engine.bulk_ingest(turns)
     asked = turns.where("turn_index = 1").select(F.col("conversation_id").alias("query_id"), "conversation_id", F.col("text").alias("question"))
-    return engine.ask(asked, units, edges, turns)
+    return engine.ask(asked, units, edges, turns).answers.select("query_id", "answer", "context")
 
 
 @query()
@@ -728,3 +728,6 @@ def chunk_experiment(spark, d):
         F.col("speaker").alias("category"), F.array("dia_id").alias("gold_evidence_ids"),
     )
     return experiments.report(experiments.chunk_retrieval(turns, asked, experiments.Experiment()))[1]
+
+
+from tidemark.plans import memory_queries  # noqa: E402, F401  registers its queries here

@@ -5,15 +5,68 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.monitoring import cache_key, with_cache
 
+CACHE = "key string, payload string"
 TRIES, FIRST_WAIT, LONGEST_WAIT = 3, 0.5, 8.0
 
 
+class Backend(Protocol):
+    """What answers a prompt; anything callable so does, an HTTP client or a stub alike."""
+
+    def __call__(self, prompt: str) -> str: ...
+
+
+@dataclass(frozen=True)
+class Client:
+    """Providers by name, each with the backend that speaks for it, and one model and temperature.
+
+    The key of an answer covers provider, model, temperature and the whole prompt, so a cache may serve many clients.
+    """
+
+    backends: dict[str, Backend]
+    provider: str
+    model: str
+    temperature: float = 0.0
+
+    def __post_init__(self):
+        if self.provider not in self.backends:
+            raise ValueError(f"unknown provider {self.provider!r}; known: {', '.join(sorted(self.backends))}")
+
+    def requests(self, prompts: DataFrame) -> DataFrame:
+        return requests(prompts, f"{self.provider}/{self.model}", repr(float(self.temperature)))
+
+    def generate(self, prompts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``(answers, new cache entries)`` of prompts (id, prompt)."""
+        return completions(self.requests(prompts), cache, self.backends[self.provider])
+
+
+def empty_cache(spark) -> DataFrame:
+    return spark.createDataFrame([], CACHE)
+
+
+def stored(cache: DataFrame, entries: DataFrame) -> DataFrame:
+    """The cache with entries (key, payload); keys that it has are replaced."""
+    new = entries.select("key", "payload").dropDuplicates(["key"])
+    return cache.join(new, "key", "left_anti").select("key", "payload").unionByName(new)
+
+
+def without(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """The cache without some keys."""
+    return cache.join(keys.select("key"), "key", "left_anti").select("key", "payload")
+
+
+def sound(cache: DataFrame) -> DataFrame:
+    """The cache without entries that can't be read."""
+    return cache.where(F.get_json_object("payload", "$.content").isNotNull())
+
+
 def requests(prompts: DataFrame, model: str, template: str) -> DataFrame:
     """Prompts (id, prompt) with their cache key."""
     return prompts.withColumn("key", cache_key(F.lit(model), F.lit(template), F.col("prompt")))

@@ -92,10 +92,15 @@ def _parsed(kind: str):
     return run
 
 
+def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns and questions of datasets, a row (value) each."""
+    rows = files.select("value")
+    return rows.mapInPandas(_parsed("turns"), TURNS), rows.mapInPandas(_parsed("questions"), QUESTIONS)
+
+
 def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Turns and questions of all JSON files under ``path``; a missing path is an error when it is read."""
-    files = spark.read.text(path, wholetext=True)
-    return files.mapInPandas(_parsed("turns"), TURNS), files.mapInPandas(_parsed("questions"), QUESTIONS)
+    return parsed(spark.read.text(path, wholetext=True))
 
 
 def statistics(turns: DataFrame, questions: DataFrame) -> DataFrame:
@@ -123,6 +128,9 @@ def synthetic(spark: SparkSession, conversations: int = 2, sessions: int = 2, tu
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions from JSON: a bare list, or an object that lists them under ``predictions``."""
-    rows = spark.read.option("multiLine", True).json(path)
+    """Predictions from JSON: an object a line, a bare list, or an object that lists them under ``predictions``."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    begins = first["value"].strip() if first else ""
+    lines = begins.startswith("{") and begins.endswith("}") or begins.startswith("[") and begins.endswith("]")
+    rows = spark.read.option("multiLine", not lines).json(path)
     return rows.select(F.explode("predictions").alias("p")).select("p.*") if rows.columns == ["predictions"] else rows

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOW_F1, CELL_CHARS, REPORTED = 0.3, 200, 10
+from tidemark.sources import scratch
+
+__all__ = ["scratch", "uuid"]
+LOW_F1, CELL_CHARS, REPORTED, CHUNK_CHARS = 0.3, 200, 10, 400
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
@@ -47,7 +52,10 @@ def failure_report(predictions: DataFrame) -> str:
     rows = predictions.where(F.col("f1") < LOW_F1).orderBy("qa_id").limit(REPORTED).collect()
     out = ["# Failure cases", ""]
     for r in rows:
-        out += [f"## {r['qa_id']}", "", f"- Question: {r['question']}", f"- Gold: {r['gold_answer']}", f"- Answer: {r['predicted_answer']}", f"- F1: {r['f1']}", ""]
+        out += [f"## {r['qa_id']}", "", f"- Question: {r['question']}", f"- Gold: {r['gold_answer']}", f"- Answer: {r['predicted_answer']}", f"- F1: {r['f1']}"]
+        if "top_chunk" in predictions.columns:
+            out.append(f"- Top chunk: {(r['top_chunk'] or '')[:CHUNK_CHARS]}")
+        out.append("")
     return "\n".join(out) if rows else "# Failure cases\n\nNone.\n"
 
 
@@ -60,6 +68,34 @@ def compared_runs(runs: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def write_comparison_csv(runs: dict[str, DataFrame], path: str) -> None:
+    """One row a run."""
+    compared_runs(runs).orderBy("run").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_metrics(metrics: DataFrame, path: str, **facts) -> None:
+    """The one row of a run's metrics as JSON, with facts such as the configuration's digest."""
+    row = metrics.first()
+    text = json.dumps((row.asDict(recursive=True) if row else {}) | facts, sort_keys=True, default=str)
+    metrics.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_run(predictions: DataFrame, metrics: DataFrame, by_category: DataFrame, folder: str, **facts) -> None:
+    """All outputs of a run of the memory: predictions and metrics as JSON, categories and answered failures as CSV."""
+    write_predictions(predictions, f"{folder}/predictions")
+    write_metrics(metrics, f"{folder}/metrics", **facts)
+    write_category_csv(flat_lists(by_category), f"{folder}/categories")
+    write_failures_csv(predictions, f"{folder}/failures", answered_only=True)
+
+
+def analysis_report(counts: dict[str, int], coverage: list[dict], missing: list[dict], cases: list[dict]) -> str:
+    """Markdown of an analysis: failures by type, coverage by category, missing turns, and some cases."""
+    out = ["# Analysis", "", "| Failure | Questions |", "|---|---|", *[f"| {k} | {n} |" for k, n in sorted(counts.items())], "", "| Category | Gold turns | Covered |", "|---|---|---|"]
+    out += [f"| {c['category'] or 'all'} | {c['n_gold']} | {c['n_covered']} |" for c in coverage]
+    out += ["", "Missing: " + (", ".join(f"{m['conversation_id']}/{m['dia_id']}" for m in missing) or "none"), ""]
+    return "\n".join(out + [f"- {c['query_id']}: {c['primary_type']} ({c['bucket']})" for c in cases]) + "\n"
+
+
 def empty_run(spark, name: str, reason: str) -> DataFrame:
     """The record of a run that had nothing to evaluate."""
     return spark.createDataFrame([(name, 0, reason)], "experiment string, n long, reason string")

@@ -27,11 +27,15 @@ def first_seen(messages: DataFrame, text: Column, late: str = "1 day") -> DataFr
     return keyed.dropDuplicatesWithinWatermark(["conversation_id", "_key"]).drop("_key")
 
 
-def ingest(turns: DataFrame, write: Callable[[DataFrame, DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of turns ingested in bulk; ``write`` gets its units, edges and number, and must be idempotent in it."""
+def ingest(turns: DataFrame, write: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, known: Callable[[int], DataFrame | None] | None = None) -> StreamingQuery:
+    """Each micro-batch of turns ingested in bulk; ``write`` gets its units, edges and number, and must be idempotent in it.
+
+    ``known`` gives the units of all batches before a number (conversation_id, mu_id, seq, claim, confidence): new claims are
+    compared with them, so that repeats and replaced claims are found across batches.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        units, edges = engine.bulk_ingest(df)
+        units, edges = engine.bulk_ingest(df, known(number) if known else None)
         write(units, edges, number)
 
     return turns.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
