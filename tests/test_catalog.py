@@ -53,6 +53,6 @@ def test_turns_are_compared_and_ranked(spark):
     fixture = {(c[1], c[0]) for c in catalog.X.CLAIMS}
     ranked = {(r.conversation_id, r.mu_id) for r in catalog.QUERIES["betweenness_centrality"](spark, SF).collect()}
     assert ranked == turns | fixture
-    pairs = catalog.QUERIES["turn_relationships"](spark, SF).collect()
+    pairs = catalog.QUERIES["pairwise_relationships"](spark, SF).collect()
     expected = sum(c[0] == other[0] for every in (turns, fixture) for c in every for other in every if c[1] < other[1])
     assert len(pairs) == expected

@@ -264,3 +264,274 @@ def test_driver_side_checks(tmp_path):
 def test_settings_files(tmp_path):
     (tmp_path / "x.json").write_text('{"experiment": {"strategy": "window3", "other": 1}}')
     assert experiments.Experiment.from_file(str(tmp_path / "x.json")).strategy == "window3"
+
+
+def memory_of(spark, texts, c="c|1"):
+    t = spark.createDataFrame([(c, "S0", i, f"D{i}", "Ann", x, "noon") for i, x in enumerate(texts)], TURNS)
+    return t, *engine.bulk_ingest(t)
+
+
+SAID = ["Ann works at Globex in Paris", "Do zebras sleep at night in the zoo?", "Ann lives in Lyon with a cat", "Ann moved to Berlin"]
+
+
+def test_turns_that_no_unit_quotes_are_hits_of_their_own(spark):
+    t, units, edges = memory_of(spark, SAID)
+    q = spark.createDataFrame([("q1", "c|1", "zebras sleep")], "query_id string, conversation_id string, question string")
+    hits = {r.mu_id: r for r in engine.retrieve(q, units, edges, t).collect()}
+    assert hits["se_D1"].claim == "Ann: Do zebras sleep at night in the zoo?" and hits["se_D1"].sources == ["source"]
+    asked = engine.ask(q, units, edges, t)
+    assert not asked.accesses.where("mu_id = 'se_D1'").count() and asked.answers.first().passed
+    alone = engine.Retrieval(dense=0, graph=False, label=0, forgotten=0)
+    assert [r.mu_id for r in engine.retrieve(q, units, edges, t, alone).collect()] == ["se_D1"]
+    with pytest.raises(ValueError):
+        engine.Retrieval(dense=0, bm25=0)
+
+
+def test_a_cross_encoder_that_fails_leaves_the_fused_order(spark):
+    t, units, edges = memory_of(spark, SAID)
+    q = spark.createDataFrame([("q1", "c|1", "zebras sleep"), ("q2", "c|1", "where does Ann live")], "query_id string, conversation_id string, question string")
+    order = lambda rerank: {(r.query_id, r.rank): r.mu_id for r in engine.retrieve(q, units, edges, t, rerank=rerank).collect()}
+
+    def broken(questions, passages):
+        raise RuntimeError("no model")
+
+    assert order(broken) == order(None)
+    assert order(lambda questions, passages: [float("zebras" in p[:60]) for p in passages])["q1", 1] == "se_D1"
+    with pytest.raises(ValueError):
+        engine.retrieve(q, units, edges, t, rerank="other")
+
+
+def test_forgotten_and_labelled_units_come_back(spark):
+    t, units, edges = memory_of(spark, ["Ann plays the cello at home", "Ann grows tomatoes in June", "The weather was grey again", "Ben bought a car in Rome", "Cy swims every morning"])
+    ids = {r.claim: r.mu_id for r in units.collect()}
+    cello, tomatoes = ids["Ann plays the cello at home"], ids["Ann grows tomatoes in June"]
+    status = F.when(F.col("mu_id") == tomatoes, "archived").otherwise("forgotten")
+    units = units.withColumns({"status": status, "compressed_label_id": F.when(F.col("mu_id") == tomatoes, "label_1")})
+    archives = spark.createDataFrame([(tomatoes, '{"claim": "as it was"}')], "mu_id string, full_memory_unit_json string")
+    q = spark.createDataFrame([(1, "c|1", "cello tomatoes")], "query_id int, conversation_id string, question string")
+    asked = engine.ask(q, units, edges, None, archives=archives)
+    hits = {r.mu_id: r for r in asked.hits.collect()}
+    assert hits[cello].promoted and hits[tomatoes].is_from_label and hits[tomatoes].claim == "as it was"
+    assert {(r.mu_id, r.reason) for r in asked.promotions.collect()} == {(cello, "forgotten"), (tomatoes, "label")}
+    quiet = engine.retrieve(q, units, edges, None, engine.Retrieval(promote=False))
+    assert quiet.where("promoted").count() == 0
+
+
+def test_a_model_answers_prompts_and_is_guarded(spark):
+    t, units, edges = memory_of(spark, SAID)
+    q = spark.createDataFrame([(1, "c|1", "where does Ann live"), (2, "nobody", "where")], "query_id int, conversation_id string, question string")
+    asked = engine.ask(q, units, edges, t, answers=lambda prompts: prompts.select("id", F.lit("Zanzibar trams glow").alias("content")))
+    got = {r.query_id: r for r in asked.answers.collect()}
+    assert (got[1].answer, got[1].passed, got[1].warnings) == ("Zanzibar trams glow", False, ["low grounding"])
+    assert got[2].answer == engine.NO_ANSWER and got[2].passed
+
+
+def test_messages_meet_the_memory_of_before(spark):
+    at = lambda texts, start: spark.createDataFrame([("c", "S0", start + i, f"D{start + i}", "Ann", x, "noon") for i, x in enumerate(texts)], TURNS)
+    memory = engine.processed(store.empty_memory(spark), at(["Ann works at Globex in Paris", "Ann moved to Berlin"], 0), now())
+    after = engine.processed(memory, at(["Ann works at Globex in Paris", "Ann moved to Oslo"], 10), now())
+    assert {r.claim: r.status for r in after.units.collect()} == {"Ann works at Globex in Paris": "active", "Ann moved to Berlin": "archived", "Ann moved to Oslo": "active"}
+    assert after.edges.where("edge_type = 'superseded_by'").count() == 1 and store.repeated_ids(after.units).count() == 0
+    again = engine.processed(after, at(["Ann moved to Oslo"], 11), now())
+    assert again.units.count() == 3
+
+
+def test_a_language_model_may_judge_pairs_and_rules_step_in(spark):
+    rows = spark.createDataFrame([("c", 1, "a", "Ann sings"), ("c", 2, "b", "Ann does not sing and Ann sings")], "conversation_id string, seq int, mu_id string, claim string")
+    said = lambda model: relations.compared(rows, rows, model).first().relationship
+
+    def broken(premises, hypotheses):
+        raise OSError("no weights")
+
+    assert said(lambda p, h: [(0.9, 0.0, 0.1)] * len(p)) == "contradiction" and said(lambda p, h: [(0.0, 0.9, 0.1)] * len(p)) == "related"
+    assert said(broken) == said(None)
+
+
+def test_snapshots(spark, memory, tmp_path):
+    import datetime
+
+    from tidemark.operators import snapshots
+
+    root, at = str(tmp_path / "s"), datetime.datetime(2024, 1, 1)
+    assert snapshots.read(spark, root) is None and snapshots.backup_due(spark, root, at)
+    snapshots.commit(memory, root, "one", at)
+    gone = memory._replace(units=memory.units.limit(1))
+    assert snapshots.commit(gone, root, "two", at + datetime.timedelta(hours=1)) == 2
+    assert snapshots.read(spark, root).units.count() == 1 and snapshots.read(spark, root, 1).units.count() == memory.units.count()
+    assert snapshots.restored(spark, root, 1, "three", at) == 3 and snapshots.read(spark, root).units.count() == memory.units.count()
+    assert snapshots.beyond(spark, root, 2) == ["one"] and not snapshots.backup_due(spark, root, at + datetime.timedelta(hours=2))
+    with pytest.raises(Exception, match="exists|EXISTS"):
+        snapshots.commit(memory, root, "one", at)
+
+
+def test_indexes_are_written_and_read(spark, tmp_path):
+    from tidemark.operators import index
+
+    units = spark.createDataFrame([("a", "c", "cello", "active"), ("b", "c", "violin", "forgotten")], "mu_id string, conversation_id string, claim string, status string")
+    at = index.rebuilt(units, F.col("claim"))
+    index.write(at, str(tmp_path / "i"), model="hashed", dim=64)
+    rows, facts = index.load(spark, str(tmp_path / "i"))
+    assert facts == {"model": "hashed", "dim": 64} and [r.mu_id for r in rows.collect()] == ["a"]
+    both = index.all_rebuilt(units, spark.createDataFrame([], store.LABEL_SCHEMA))
+    assert {k: v.count() for k, v in both.items()} == {"active": 1, "forgotten": 1, "label": 0}
+    q = spark.createDataFrame([(1, "c", "violin")], "query_id int, conversation_id string, question string")
+    assert index.keyword_searched(both["forgotten"], q, 3).count() <= 1
+    due = units.withColumn("needs_reindex", F.lit(True))
+    assert index.all_synced(both, due, spark.createDataFrame([], store.LABEL_SCHEMA))["active"].where("NOT deleted").count() == 1
+
+
+def test_settings_of_a_run_are_checked(spark, tmp_path):
+    good = {"experiment": {"name": "x", "retrieval": {"top_k": 3}, "lifecycle": {"capacity": 50}}}
+    (tmp_path / "x.json").write_text(json.dumps(good))
+    run = experiments.MemoryRun.from_file(str(tmp_path / "x.json"))
+    assert run.retrieval.top_k == 3 and run.lifecycle.capacity == 50 and len(run.digest()) == 12
+    for bad in ({"nam": "x"}, {"retrieval": {"k": 1}}, {"retrieval": {"top_k": 0}}, {"lifecycle": {"capacity": 0}}, {"rerank": "magic"}, {"name": ""}):
+        with pytest.raises(ValueError):
+            experiments.MemoryRun.of(bad)
+    for wrong in ({"most_facts": 0}, {"mode": "x"}, {"confidence": 2.0}):
+        with pytest.raises(ValueError):
+            extraction.Extractor(**wrong)
+    for wrong in ({"threshold": 2.0}, {"mode": "x"}, {"least": 0}, {"least": 3, "most": 2}, {"text_chars": 0}):
+        with pytest.raises(ValueError):
+            chunking.Semantic(**wrong)
+    assert experiments.code_version("/nowhere") is None
+
+
+def test_a_whole_run(spark, tmp_path):
+    said = [{"dia_id": f"D{i}", "speaker": "Ann", "text": x} for i, x in enumerate(SAID)]
+    qa = [{"question": "Where did Ann move?", "answer": "Berlin", "evidence": ["D3"], "category": "1"}, {"question": "Who is Globex?", "answer": "a firm", "evidence": ["D0"], "category": "2"}]
+    (tmp_path / "d.json").write_text(json.dumps([{"conversation_id": "c", "conversation": said, "qa": qa}]))
+    (tmp_path / "run.json").write_text(json.dumps({"name": "t", "dataset": str(tmp_path / "d.json"), "output": str(tmp_path / "out"), "rerank": "overlap"}))
+    run = experiments.main(str(tmp_path / "run.json"), spark)
+    got = run.metrics.first()
+    assert got.n == 2 and got.avg_recall == 1.0 and run.by_category.count() == 2 and run.ingested.first().total >= 2
+    assert dialogues.read_predictions(spark, str(tmp_path / "out" / "predictions")).count() == 2
+    assert json.loads(spark.read.text(str(tmp_path / "out" / "metrics")).first().value)["name"] == "t"
+    rows = run.predictions.select(F.col("qa_id").alias("query_id"), "conversation_id", "category", "question", F.col("gold_evidence_ids").alias("gold"), F.slice("retrieved_dia_ids", 1, 0).alias("retrieved"), F.col("retrieved_dia_ids").alias("deeper"))
+    covered = spark.createDataFrame([("c", "D3")], "conversation_id string, dia_id string")
+    text = experiments.analysed(rows, covered, str(tmp_path / "analysis"))
+    assert "c/D0" in text and "ranking_depth" in text
+    for retrieval in ("bm25", "dense", "hybrid"):
+        t, q = dialogues.load(spark, str(tmp_path / "d.json"))
+        assert experiments.chunk_retrieval(t, q, experiments.Experiment(retrieval=retrieval)).where("evidence_recall = 1").count() == 2
+
+
+def test_betweenness_by_counting_paths(spark):
+    import itertools
+
+    links = [("a", "b"), ("b", "c"), ("a", "d"), ("d", "c"), ("c", "e"), ("e", "a"), ("d", "e")]
+    units = spark.createDataFrame([("k", x) for x in "abcdef"], "conversation_id string, mu_id string")
+    edges = spark.createDataFrame(links, "source_mu_id string, target_mu_id string")
+
+    def shortest(s, t):
+        for n in range(1, 7):
+            found = [p for p in itertools.product("abcdef", repeat=n - 1) if all(x in links for x in itertools.pairwise((s, *p, t)))]
+            if found:
+                return found
+        return []
+
+    expected = dict.fromkeys("abcdef", 0.0)
+    for s, t in itertools.permutations("abcdef", 2):
+        paths = shortest(s, t)
+        for p in paths:
+            for v in p:
+                expected[v] += 1 / len(paths)
+    got = {r.mu_id: r.betweenness for r in graph.betweenness(units, edges).collect()}
+    assert all(abs(got[v] - expected[v] / 20) < 1e-8 for v in expected)
+    assert graph.betweenness(units, edges, sources=3).count() == 6
+
+
+def test_stores_refuse_what_can_not_be(spark, memory):
+    pick = spark.createDataFrame([("m0",), ("nobody",)], "mu_id string")
+    with pytest.raises(ValueError):
+        store.compressed(memory, pick, now(), strict=True)
+    with pytest.raises(KeyError):
+        store.looked_up(memory.units, pick, required=True)
+    with pytest.raises(ValueError):
+        store.inserted(memory.units, memory.units.limit(1), strict=True)
+    summaries = spark.createDataFrame([("m0", "a model's own summary"), ("m1", "short")], "mu_id string, summary string")
+    packed = store.compressed(memory, memory.units, now(), summaries)
+    labels = {r.mu_id: r.short_summary for r in packed.labels.collect()}
+    assert labels["m0"] == "a model's own summary" and labels["m1"] == "claim 1"
+    assert store.mismatched_pointers(packed.labels, packed.archives).count() == 0
+    assert store.mismatched_pointers(packed.labels.withColumn("archived_pointer", F.lit("x")), packed.archives).count() == len(labels)
+    assert store.entries_of(packed.labels, pick).count() == 1 and store.without_entries(packed.archives, pick).count() == len(labels) - 1
+
+
+def test_percentiles_of_any_numbers(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [("a", r.choice([0.0, -1.5, 2.0, r.gauss(0, 1000), r.random() * 1e-9])) for _ in range(500)] + [("b", 5.0)] * 300 + [(None, -2.0), (None, 3.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for p in (0.01, 0.5, 0.95, 1.0):
+        expected = {}
+        for k in ("a", "b", None):
+            values = sorted(v for x, v in rows if x == k and v is not None)
+            expected[k] = (values[max(1, int(p * len(values))) - 1], values[min(len(values), int(len(values) * p) + 1) - 1])
+        low = {x.k: x[1] for x in evaluation.percentile(df, "v", p, "k").collect()}
+        high = {x.k: x[1] for x in evaluation.histogram_percentile(df, "v", p, "k").collect()}
+        assert {k: (low[k], high[k]) for k in low} == expected
+
+
+def test_limiters_over_pauses(spark):
+    import random
+
+    from tidemark.operators import monitoring
+
+    r = random.Random(2)
+    at, rows = 0.0, []
+    for i in range(300):
+        at += r.choice([1, 5, 30, 400, 5000])
+        rows.append(("u", i, at))
+    df = spark.createDataFrame(rows, "user_id string, event_id int, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
+    taken, left, last, window, bucket = [], 3.0, None, {}, {}
+    for _, i, t in rows:
+        taken = [x for x in taken if x > t - 60]
+        window[i] = len(taken) < 2
+        taken += [t] if window[i] else []
+        left = min(3.0, left + (0 if last is None else (t - last) / 100))
+        last, bucket[i] = t, left >= 1
+        left -= bucket[i]
+    assert {x.event_id: x.accepted for x in monitoring.sliding_limiter(df, 60, 2).collect()} == window
+    assert {x.event_id: x.accepted for x in monitoring.token_bucket(df, 1 / 100, 3).collect()} == bucket
+
+
+def test_smaller_additions(spark, tmp_path):
+    from tidemark.operators import monitoring
+    from tidemark.plans import models
+
+    nested = spark.createDataFrame([({"k": ["a@b.org"]}, 1)], "m map<string, array<string>>, n int")
+    assert safety.redacted(nested).first().m == {"k": ["[EMAIL]"]}
+    t = F.col("t")
+    assert one(spark, safety.intent(t, F.lit("question")), t="tell me") == "question" and one(spark, safety.intent(t, F.lit("statement")), t="what is it?") == "question"
+    assert one(spark, safety.intent(t, F.lit("statement")), t="do you sing") == "statement" and one(spark, safety.intent(t, F.lit("hm")), t="do you sing") == "question"
+    cache = models.stored(models.empty_cache(spark), spark.createDataFrame([("k", '{"content": "x"}'), ("bad", "{")], "key string, payload string"))
+    assert models.sound(cache).count() == 1 and models.without(cache, cache.where("key = 'k'")).count() == 1
+    client = models.Client({"echo": str.upper}, "echo", "m")
+    answers, new = client.generate(spark.createDataFrame([(1, "hi")], "id int, prompt string"), cache)
+    assert answers.first().content == "HI" and new.count() == 1
+    with pytest.raises(ValueError):
+        models.Client({}, "none", "m")
+    edges = spark.createDataFrame([("a", "b", "related_to", 1.0)], "source_mu_id string, target_mu_id string, edge_type string, weight double")
+    more = graph.with_edges(edges, spark.createDataFrame([("a", "b", "related_to", 2.0), ("b", "c", "related_to", 1.0)], edges.schema))
+    assert more.count() == 2 and graph.without_edges(more, edges.select("source_mu_id", "target_mu_id")).count() == 1
+    units = spark.createDataFrame([("a", 1)], "mu_id string, n int")
+    assert graph.with_nodes(units, spark.createDataFrame([("a", 2), ("b", 1)], units.schema)).count() == 2
+    events = spark.createDataFrame([("x", 1, 2.0, 1), ("x", 2, 5.0, 2)], "k string, event_id int, value double, ts int")
+    assert monitoring.counters(events, "k").first().total == 7.0 and monitoring.gauges(events, "k").first()["last"] == 5.0
+    assert one(spark, context.debug_prompt(F.lit(None), t), t="why").endswith("Question: why")
+    answers = spark.createDataFrame([(1, "x")], "query_id int, answer string")
+    with pytest.raises(ValueError):
+        context.checked_batch(answers, spark.createDataFrame([], "query_id int, n_entries long, has_conflicted boolean, evidence_tokens array<string>"))
+    extractor = extraction.Extractor(mode="model")
+    chunks = chunking.turn_chunks(turns(spark, ["Ann plays the cello every day"]))
+    said = extractor.prompts(chunks).select("id", F.lit('{"facts": ["Ann plays the cello"]}').alias("content"))
+    assert [r.claim for r in extractor.facts(chunks, said).collect()] == ["Ann plays the cello"]
+    runs = {"a": spark.createDataFrame([(1, 0.5)], "n long, avg_f1 double"), "b": spark.createDataFrame([(2, 0.7)], "n long, avg_f1 double")}
+    sinks.write_comparison_csv(runs, str(tmp_path / "cmp"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "cmp")).count() == 2
+    vectors = turns(spark, ["one", "two"]).withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+    assert {r.chunk_no for r in chunking.Semantic(mode="centroid").breaks(vectors).collect()} == {0}
+    timed = spark.createDataFrame([(10, 5, 3, 0.0), (20, 7, 3, 40.0)], "input_tokens int, output_tokens int, n_chunks int, generation_ms double")
+    assert evaluation.usage_metrics(timed).first().mean_ms == 40.0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +47,30 @@ def evidence_recall(gold: Column, retrieved: Column) -> Column:
     return F.round(found / F.nullif(F.size(gold), F.lit(0)), 4)
 
 
+def _at_place(rows: DataFrame, value: str, keys: tuple[str, ...], place: Callable[[Column], Column], name: str) -> DataFrame:
+    """``keys, name``: the value at a place (of the count n) in ascending order.
+
+    Counts by whole powers of two of the value's distance from 0 come first, at most some thousand a key; only the bucket
+    that holds the place is looked into, by counts of its distinct values. So no task sees all values of a hot key.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    size = F.when(F.abs(F.col("_v").cast("double")) > 0, F.floor(F.log2(F.abs(F.col("_v").cast("double"))) * 8)).cast("int")
+    bucket = F.when(F.col("_v") < 0, -(size + 10_000)).when(F.col("_v") == 0, F.lit(0)).otherwise(size + 10_000)
+    marked = known.withColumn("_b", bucket)
+    by = Window.partitionBy(*keys)
+    counts = marked.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(by.orderBy("_b")).alias("_upto")
+    found = counts.select(*keys, "_b", "_c", upto, F.sum("_c").over(by).alias("_n")).withColumn("_place", place(F.col("_n")))
+    found = found.where((F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_c") < F.col("_place"))).select(*keys, "_b", (F.col("_place") - F.col("_upto") + F.col("_c")).alias("_place"))
+    on = reduce(lambda x, y: x & y, [F.col(f"m.{k}").eqNullSafe(F.col(f"f.{k}")) for k in (*keys, "_b")])
+    inside = marked.alias("m").join(found.alias("f"), on).select(*[F.col(f"m.{k}").alias(k) for k in keys], "m._v", "f._place")
+    values = inside.groupBy(*keys, "_v", "_place").agg(F.count("*").alias("_c"))
+    return values.withColumn("_upto", F.sum("_c").over(by.orderBy("_v"))).where(F.col("_upto") >= F.col("_place")).groupBy(*keys).agg(F.min("_v").alias(name))
+
+
 def percentile(rows: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
     """``keys, p<nn>``: the value at place max(1, floor(p n)) in ascending order, not interpolated."""
-    name = f"p{round(p * 100)}"
-    by = Window.partitionBy(*keys)
-    # equal values are interchangeable, so counts of distinct values decide and a hot key is pre-aggregated
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    run = counts.withColumns({"_upto": F.sum("_c").over(by.orderBy(value)), "_n": F.sum("_c").over(by)})
-    place = F.greatest(F.lit(1), F.floor(F.lit(p) * F.col("_n")))
-    return run.where(F.col("_upto") >= place).groupBy(*keys).agg(F.min(value).alias(name))
+    return _at_place(rows, value, keys, lambda n: F.greatest(F.lit(1), F.floor(F.lit(p) * n)), f"p{round(p * 100)}")
 
 
 def latency_percentiles(rows: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -67,8 +85,7 @@ def latency_percentiles(rows: DataFrame, value: str, *keys: str) -> DataFrame:
 
 def histogram_percentile(rows: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
     """The other rule, of monitoring: the value at place floor(n p) + 1."""
-    ranked = rows.withColumns({"_r": F.row_number().over(Window.partitionBy(*keys).orderBy(value)), "_n": F.count("*").over(Window.partitionBy(*keys))})
-    return ranked.where(F.col("_r") == F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1)).select(*keys, F.col(value).alias(f"p{round(p * 100)}"))
+    return _at_place(rows, value, keys, lambda n: F.least(n, F.floor(n * p) + 1), f"p{round(p * 100)}")
 
 
 def run_metrics(predictions: DataFrame, *keys: str) -> DataFrame:

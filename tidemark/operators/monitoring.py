@@ -13,6 +13,18 @@ def rate_window(events: DataFrame, seconds: int, most: int, key: str = "user_id"
     return events.withColumn("_t", micros).select(key, tie, F.count("*").over(w).alias("in_window")).withColumn("over_limit", F.col("in_window") > most)
 
 
+def _stretches(events: DataFrame, gap: float, key: str, ts: str, tie: str) -> DataFrame:
+    """``key, tie, _t, _s``: seconds, and the number of the stretch of a key's history that no pause of ``gap`` seconds breaks.
+
+    After such a pause nothing of before counts any more, so stretches are decided each by itself, and a key with a long
+    history is many tasks.
+    """
+    by = Window.partitionBy(key).orderBy("_t", tie)
+    rows = events.select(key, tie, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"))
+    after = F.coalesce(F.col("_t") - F.lag("_t").over(by) >= gap, F.lit(False)).cast("int")
+    return rows.withColumn("_a", after).withColumn("_s", F.sum("_a").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_a")
+
+
 def sliding_limiter(events: DataFrame, seconds: float, most: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """``key, tie, accepted``: only accepted events take room in the window, so each decision depends on those before."""
     kinds = dict(events.dtypes)
@@ -30,8 +42,7 @@ def sliding_limiter(events: DataFrame, seconds: float, most: int, key: str = "us
             out.append(ok)
         return pdf[[key, tie]].assign(accepted=out)
 
-    rows = events.select(key, tie, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"))
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {tie} {kinds[tie]}, accepted boolean")
+    return _stretches(events, seconds, key, ts, tie).groupBy(key, "_s").applyInPandas(fold, f"{key} {kinds[key]}, {tie} {kinds[tie]}, accepted boolean")
 
 
 def token_bucket(events: DataFrame, per_second: float, burst: float, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -47,8 +58,9 @@ def token_bucket(events: DataFrame, per_second: float, burst: float, key: str =
             out.append(ok)
         return pdf[[key, tie]].assign(accepted=out)
 
-    rows = events.select(key, tie, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"))
-    return rows.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {tie} {kinds[tie]}, accepted boolean")
+    # a bucket that had time to fill is as good as new; a margin, since times are rounded
+    full = burst / per_second * (1 + 1e-9) if per_second > 0 else float("inf")
+    return _stretches(events, full, key, ts, tie).groupBy(key, "_s").applyInPandas(fold, f"{key} {kinds[key]}, {tie} {kinds[tie]}, accepted boolean")
 
 
 def counters(events: DataFrame, *keys: str, value: str = "value") -> DataFrame:

@@ -71,19 +71,20 @@ def bm25_topk(spark, d):
     return search.bm25_topk(T.read(spark, d, "documents").select("doc_id", "text"), asked, 5)
 
 
-def _first_turns(spark, d):
+def _every_turn(spark, d):
+    """All turns as documents, and as questions."""
     t = _turns(spark, d)
-    return t.select("conversation_id", F.col("turn_index").alias("doc_id"), "text"), t.where("turn_index = 0").select("conversation_id", F.col("conversation_id").alias("query_id"), "text")
+    return t.select("conversation_id", F.col("turn_index").alias("doc_id"), "text"), t.select("conversation_id", F.concat_ws(":", "conversation_id", F.col("turn_index").cast("string")).alias("query_id"), "text")
 
 
-_SCOPED = Q.bm25(f"(SELECT conversation_id, turn_index AS doc_id, text FROM {Q.turns()})", f"(SELECT conversation_id, conversation_id AS query_id, text FROM {Q.turns()} WHERE turn_index = 0)", "conversation_id")
+_SCOPED = Q.bm25(f"(SELECT conversation_id, turn_index AS doc_id, text FROM {Q.turns()})", f"(SELECT conversation_id, conversation_id || ':' || turn_index AS query_id, text FROM {Q.turns()})", "conversation_id")
 
 
-@query(f"""WITH {_SCOPED.replace('qt.query_id, tf.doc_id, round', 'qt.query_id, tf.doc_id, round')},
+@query(f"""WITH {_SCOPED},
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT * FROM r WHERE rank <= 3""")
 def bm25_by_conversation(spark, d):
-    docs, asked = _first_turns(spark, d)
+    docs, asked = _every_turn(spark, d)
     return search.bm25_topk(docs, asked, 3, scope="conversation_id")
 
 
@@ -93,7 +94,7 @@ z AS (SELECT p.query_id, p.doc_id, coalesce(score, 0) AS score FROM p LEFT JOIN
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM z)
 SELECT * FROM r WHERE rank <= 10""")
 def bm25_all_ranked(spark, d):
-    docs, asked = _first_turns(spark, d)
+    docs, asked = _every_turn(spark, d)
     return search.bm25_topk(docs, asked, 10, positive=False, scope="conversation_id")
 
 
@@ -300,20 +301,11 @@ c AS (SELECT conversation_id, mu_a_id, mu_b_id, ['contradiction', 'related', 'up
   round(CASE rule WHEN 1 THEN con WHEN 2 THEN ent * 0.5 WHEN 3 THEN ent WHEN 4 THEN ent WHEN 5 THEN 0.75 WHEN 6 THEN CAST(0.68 AS DOUBLE) WHEN 7 THEN 0.7 WHEN 8 THEN greatest(j, CASE WHEN same THEN CAST(0.3 AS DOUBLE) ELSE 0 END) ELSE greatest(0, 1 - j) END, 6) AS confidence FROM k)"""
 
 
-_REL = _rel(X.claims_sql())
 _REL_EDGES = """e AS (SELECT conversation_id, mu_a_id AS source_mu_id, mu_b_id AS target_mu_id, 'superseded_by' AS edge_type, confidence AS weight FROM c WHERE relationship IN ('same_fact', 'updated_fact', 'temporal_change')
   UNION ALL SELECT conversation_id, mu_a_id, mu_b_id, 'conflicts_with', confidence FROM c WHERE relationship = 'contradiction' UNION ALL SELECT conversation_id, mu_b_id, mu_a_id, 'conflicts_with', confidence FROM c WHERE relationship = 'contradiction'
   UNION ALL SELECT conversation_id, mu_a_id, mu_b_id, 'related_to', confidence FROM c WHERE relationship = 'related')"""
 
 
-def _compared(spark):
-    return relations.scan_conversations(X.claims(spark))
-
-
-def _resolved(spark):
-    return relations.new_edges(relations.edges_for(_compared(spark)))
-
-
 _SAID = f"""(SELECT * FROM {X.claims_sql()} UNION ALL SELECT CAST(conv_id AS VARCHAR) || ':' || turn, CAST(conv_id AS VARCHAR), turn, text,
   CASE WHEN {Q.speculative('text')} THEN CAST(0.35 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END FROM conversations)"""
 _SAID_REL = _rel(_SAID)
@@ -332,46 +324,25 @@ def _said_edges(spark, d):
     return relations.new_edges(relations.edges_for(relations.scan_conversations(_said(spark, d))))
 
 
-@query(f"WITH {_REL} SELECT * FROM c")
+@query(f"WITH {_SAID_REL} SELECT * FROM c")
 def pairwise_relationships(spark, d):
-    return _compared(spark)
+    return relations.scan_conversations(_said(spark, d))
 
 
-@query(f"WITH {_REL}, {_REL_EDGES} SELECT * FROM e")
+@query(f"WITH {_SAID_REL}, {_REL_EDGES} SELECT * FROM e")
 def resolver_edges(spark, d):
-    return _resolved(spark).drop("metadata_json")
+    return _said_edges(spark, d).drop("metadata_json")
 
 
-@query(f"""WITH {_REL} SELECT conversation_id, count(*) FILTER (relationship = 'contradiction') AS conflicts, count(*) FILTER (relationship IN ('same_fact', 'updated_fact', 'temporal_change')) AS updates,
+@query(f"""WITH {_SAID_REL} SELECT conversation_id, count(*) FILTER (relationship = 'contradiction') AS conflicts, count(*) FILTER (relationship IN ('same_fact', 'updated_fact', 'temporal_change')) AS updates,
 count(*) FILTER (relationship = 'related') AS related, CAST(sum(CASE relationship WHEN 'contradiction' THEN 2 WHEN 'unrelated' THEN 0 ELSE 1 END) AS BIGINT) AS edges_created FROM c GROUP BY 1""")
 def resolver_counters(spark, d):
-    return relations.counters(_compared(spark))
+    return relations.counters(relations.scan_conversations(_said(spark, d)))
 
 
-@query(f"""WITH {_REL}, {_REL_EDGES}, u AS {X.claims_sql()} SELECT source_mu_id, target_mu_id, s.confidence AS source_confidence, t.confidence AS target_confidence
+@query(f"""WITH {_SAID_REL}, {_REL_EDGES}, u AS {_SAID} SELECT source_mu_id, target_mu_id, s.confidence AS source_confidence, t.confidence AS target_confidence
 FROM e JOIN u s ON s.mu_id = source_mu_id JOIN u t ON t.mu_id = target_mu_id WHERE edge_type = 'superseded_by' AND round(t.confidence + CAST(0.2 AS DOUBLE), 9) >= s.confidence""")
 def supersession_guard(spark, d):
-    return relations.guarded_supersessions(_resolved(spark), X.claims(spark))
-
-
-# the queries above are of the fixture alone; these are of all turns and the fixture
-@query(f"WITH {_SAID_REL} SELECT * FROM c")
-def turn_relationships(spark, d):
-    return relations.scan_conversations(_said(spark, d))
-
-
-@query(f"WITH {_SAID_REL}, {_REL_EDGES} SELECT * FROM e")
-def turn_edges(spark, d):
-    return _said_edges(spark, d).drop("metadata_json")
-
-
-@query(ORACLES["resolver_counters"].replace(_REL, _SAID_REL))
-def turn_counters(spark, d):
-    return relations.counters(relations.scan_conversations(_said(spark, d)))
-
-
-@query(ORACLES["supersession_guard"].replace(_REL, _SAID_REL).replace(X.claims_sql(), _SAID))
-def turn_supersession_guard(spark, d):
     return relations.guarded_supersessions(_said_edges(spark, d), _said(spark, d))
 
 
@@ -463,37 +434,28 @@ def betweenness_centrality(spark, d):
 
 
 # ---- context and grounding -------------------------------------------------------------------------------------------
-@query(f"""WITH {_REL}, {_REL_EDGES}, u AS {X.claims_sql()},
+@query(f"""WITH {_SAID_REL}, {_REL_EDGES}, u AS {_SAID},
 m AS (SELECT u.*, EXISTS (SELECT 1 FROM e WHERE source_mu_id = mu_id AND edge_type = 'superseded_by') AS sup, EXISTS (SELECT 1 FROM e WHERE edge_type = 'conflicts_with' AND (source_mu_id = mu_id OR target_mu_id = mu_id)) AS con FROM u)
 SELECT conversation_id AS query_id, mu_id, seq AS rank, CASE WHEN seq % 7 = 0 THEN 'restored' WHEN sup THEN 'superseded' WHEN con THEN 'conflicted' ELSE 'active' END AS section FROM m WHERE seq <= 10""")
 def context_sections(spark, d):
-    hits = X.claims(spark).join(fusion.relation_meta(_resolved(spark)), "mu_id", "left").withColumn("is_from_label", F.col("seq") % 7 == 0)
+    hits = _said(spark, d).join(fusion.relation_meta(_said_edges(spark, d)), "mu_id", "left").withColumn("is_from_label", F.col("seq") % 7 == 0)
     return context.entries(hits.select(F.col("conversation_id").alias("query_id"), "mu_id", F.col("seq").alias("rank"), "is_from_label", "superseded_by", "conflicts_with")).select("query_id", "mu_id", "rank", "section")
 
 
-@query(ORACLES["context_sections"].replace(_REL, _SAID_REL).replace(X.claims_sql(), _SAID))
-def turn_context_sections(spark, d):
-    hits = _said(spark, d).join(fusion.relation_meta(_said_edges(spark, d)), "mu_id", "left").withColumn("is_from_label", F.col("seq") % 7 == 0)
-    return context.entries(hits.select(F.col("conversation_id").alias("query_id"), "mu_id", F.col("seq").alias("rank"), "is_from_label", "superseded_by", "conflicts_with")).select("query_id", "mu_id", "rank", "section")
+_REPLIES = f"""(SELECT CAST(conv_id AS VARCHAR) || ':' || turn AS query_id, text AS answer,
+  coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS shown, false AS conflicted FROM conversations
+  UNION ALL SELECT CAST(query_id AS VARCHAR), answer, shown, conflicted FROM {X.answers_sql()})"""
+_UNSURE = " OR ".join(f"contains(lower(t), {X.quoted(w)})" for w in context.UNCERTAIN)
 
 
-@query(f"""WITH a AS (SELECT *, trim(answer) AS t, len(shown) AS n FROM {X.answers_sql()}), b AS (SELECT *, t = '' OR regexp_matches(t, '(?i)no\\s+information\\s+available') AS is_no_info, list_distinct({Q.retrieval_tokens('t')}) AS mine,
+@query(f"""WITH a AS (SELECT *, trim(answer) AS t, len(shown) AS n FROM {_REPLIES}), b AS (SELECT *, t = '' OR regexp_matches(t, '(?i)no\\s+information\\s+available') AS is_no_info, list_distinct({Q.retrieval_tokens('t')}) AS mine,
   list_distinct(flatten(list_transform(shown, lambda c: {Q.retrieval_tokens('c')}))) AS ev FROM a),
 c AS (SELECT *, CASE WHEN is_no_info THEN 1.0 WHEN n = 0 THEN 0.0 ELSE round(len(list_intersect(mine, ev)) / CAST(greatest(len(mine), 1) AS DOUBLE), 6) END AS grounding_score FROM b)
 SELECT query_id, is_no_info OR (n > 0 AND grounding_score >= 0.3) AS passed, CAST(grounding_score AS DOUBLE) AS grounding_score, is_no_info, CAST(CASE WHEN is_no_info THEN 0 ELSE len(mine) END AS INTEGER) AS n_answer,
-  CAST(CASE WHEN is_no_info OR n = 0 THEN 0 ELSE len(list_intersect(mine, ev)) END AS INTEGER) AS n_overlap FROM c""")
+  CAST(CASE WHEN is_no_info OR n = 0 THEN 0 ELSE len(list_intersect(mine, ev)) END AS INTEGER) AS n_overlap,
+  list_filter([CASE WHEN is_no_info AND n > 0 THEN 'refusal despite evidence' END, CASE WHEN NOT is_no_info AND n = 0 THEN 'no evidence' END, CASE WHEN NOT is_no_info AND n > 0 AND grounding_score < 0.3 THEN 'low grounding' END,
+    CASE WHEN NOT is_no_info AND n > 0 AND conflicted AND NOT ({_UNSURE}) THEN 'conflict not acknowledged' END], lambda w: w IS NOT NULL) AS warnings FROM c""")
 def grounding_verdict(spark, d):
-    a = X.answers(spark)
-    shown = a.select("query_id", F.explode("shown").alias("claim"), F.when(F.col("conflicted"), "conflicted").otherwise("active").alias("section"), F.lit(None).cast("string").alias("label_summary"))
-    return context.grounding(a.select("query_id", "answer"), context.evidence(shown)).drop("warnings")
-
-
-_REPLIES = """(SELECT CAST(conv_id AS VARCHAR) || ':' || turn AS query_id, text AS answer,
-  coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS shown, false AS conflicted FROM conversations)"""
-
-
-@query(ORACLES["grounding_verdict"].replace(X.answers_sql(), f"(SELECT * FROM {_REPLIES} UNION ALL SELECT CAST(query_id AS VARCHAR), answer, shown, conflicted FROM {X.answers_sql()})"))
-def turn_grounding(spark, d):
     """Every turn as an answer, with all turns before it in its conversation shown, and the answers of the fixture."""
     t = _turns(spark, d)
     name = F.concat_ws(":", "a.conversation_id", F.col("a.turn_index").cast("string"))
@@ -503,7 +465,7 @@ def turn_grounding(spark, d):
     shown = before.select(name.alias("query_id"), F.col("b.text").alias("claim"), F.lit("active").alias("section"))
     of_fixture = a.select("query_id", F.explode("shown").alias("claim"), F.when(F.col("conflicted"), "conflicted").otherwise("active").alias("section"))
     shown = shown.unionByName(of_fixture).withColumn("label_summary", F.lit(None).cast("string"))
-    return context.grounding(said.unionByName(a.select("query_id", "answer")), context.evidence(shown)).drop("warnings")
+    return context.grounding(said.unionByName(a.select("query_id", "answer")), context.evidence(shown))
 
 
 # ---- evaluation ------------------------------------------------------------------------------------------------------
@@ -621,7 +583,14 @@ def turn_links(spark, d):
 
 
 # ---- safety and operations -------------------------------------------------------------------------------------------
-_REDACT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '((?i)sk-[a-z0-9])[a-z0-9-]{9,}', '\1***', 'gi'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[EMAIL]', 'g'), '\b\d{3}[-.]?\d{3}[-.]?\d{4}\b', '[PHONE]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g')"
+def _redacted(text: str) -> str:
+    """SQL of ``safety.redact``, from its patterns."""
+    for pattern, mark in ((r"((?i)sk-[a-z0-9])[a-z0-9-]{9,}", r"\1***"), (S.EMAIL, "[EMAIL]"), (S.PHONE, "[PHONE]"), (S.SSN, "[SSN]")):
+        text = f"regexp_replace({text}, {X.quoted(pattern)}, '{mark}', '{'gi' if 'sk-' in pattern else 'g'}')"
+    return text
+
+
+_REDACT = _redacted("t")
 
 
 @query(f"""WITH t AS (SELECT 'd' || doc_id AS id, text AS t FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages), r AS (SELECT id, t, {_REDACT} AS r FROM t)
@@ -712,19 +681,23 @@ def bulk_edges(spark, d):
     return engine.bulk_ingest(_dialogue(spark, d))[1].select("source_mu_id", "target_mu_id", "edge_type", "weight")
 
 
-@query()
-def ask_batch(spark, d):
-    turns = _dialogue(spark, d)
-    units, edges = engine.bulk_ingest(turns)
-    asked = turns.where("turn_index = 1").select(F.col("conversation_id").alias("query_id"), "conversation_id", F.col("text").alias("question"))
-    return engine.ask(asked, units, edges, turns).answers.select("query_id", "answer", "context")
+_CHUNKED = f"""t AS {_SPOKEN}, ck AS (SELECT {_CHUNK_ID.format(s='turn')} AS doc_id, conversation_id, dia_ids, '[Conversation: ' || conversation_id || ' | Session: S0 | Dialog IDs: ' || dia_id || ']' || chr(10) || speaker || ': ' || text AS text FROM (SELECT *, [dia_id] AS dia_ids FROM t)),
+qa AS (SELECT conversation_id || ':' || turn_index AS query_id, conversation_id, text, speaker AS category, [dia_id] AS gold FROM {Q.turns()} WHERE speaker = 'user'),
+hit AS (SELECT * FROM (WITH {Q.bm25('(SELECT conversation_id, doc_id, text FROM ck)', '(SELECT conversation_id, query_id, text FROM qa)', 'conversation_id')}
+  SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 5),
+fd AS (SELECT query_id, arg_min(text, rank) AS answer, flatten(list(dia_ids)) AS got FROM hit JOIN ck USING (doc_id) GROUP BY 1),
+w AS (SELECT qa.query_id, category, {Q.normal_words("coalesce(answer, '')")} AS a, {Q.normal_words('qa.text')} AS g, CASE WHEN list_contains(coalesce(got, []), gold[1]) THEN 1 ELSE 0 END AS recall FROM qa LEFT JOIN fd USING (query_id)),
+bo AS (SELECT query_id, sum(least(x.n, y.n)) AS both_n FROM (SELECT query_id, t, count(*) AS n FROM (SELECT query_id, unnest(a) AS t FROM w) GROUP BY ALL) x JOIN (SELECT query_id, t, count(*) AS n FROM (SELECT query_id, unnest(g) AS t FROM w) GROUP BY ALL) y USING (query_id, t) GROUP BY 1),
+pr AS (SELECT w.*, CASE WHEN len(a) = 0 AND len(g) = 0 THEN 1.0 WHEN len(a) = 0 OR len(g) = 0 THEN 0.0 ELSE round(2 * coalesce(both_n, 0) / CAST(len(a) + len(g) AS DOUBLE), 4) END AS f1, a = g AS em FROM w LEFT JOIN bo USING (query_id))"""
 
 
-@query()
+@query(f"""WITH {_CHUNKED} SELECT category, count(*) AS n, round(avg(f1), 4) AS avg_f1, round(avg(CAST(em AS INTEGER)), 4) AS avg_em, round(avg(CAST(recall AS DOUBLE)), 4) AS avg_recall,
+count(*) FILTER (recall = 0) AS zero_recall, count(*) FILTER (recall = 1) AS perfect_recall FROM pr GROUP BY category""")
 def chunk_experiment(spark, d):
+    """Every turn of a user asked of its conversation's chunks."""
     turns = _turns(spark, d)
-    asked = turns.where("turn_index = 2").select(
-        F.concat("conversation_id", F.lit("_qa")).alias("qa_id"), "conversation_id", F.substring("text", 1, 80).alias("question"), F.col("text").alias("answer"),
+    asked = turns.where("speaker = 'user'").select(
+        F.concat_ws(":", "conversation_id", F.col("turn_index").cast("string")).alias("qa_id"), "conversation_id", F.col("text").alias("question"), F.col("text").alias("answer"),
         F.col("speaker").alias("category"), F.array("dia_id").alias("gold_evidence_ids"),
     )
     return experiments.report(experiments.chunk_retrieval(turns, asked, experiments.Experiment()))[1]
