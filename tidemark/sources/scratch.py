@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
+_open: list[list[DataFrame]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,9 +35,23 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+@contextmanager
+def passing(*keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes at its end, or where it fails, all tables staged within, but those put into the list that it gives."""
+    kept: list[DataFrame] = list(keep)
+    _open.append([])
+    try:
+        yield kept
+    finally:
+        made = _open.pop()
+        discard(*[t for t in made if all(t is not k for k in kept)])
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that :func:`staged` returned and that no plan yet to run reads; other DataFrames are left alone."""
     for df in tables:
