@@ -62,6 +62,18 @@ def test_round_trip_over_documents(spark, tik):
     assert bpe.bpe_round_trip(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_bpe_of_repeated_rows_clashing_columns_and_a_long_text(spark, tik):
+    long = "many different words: " + " ".join(f"w{i}x" for i in range(60_000))
+    rows = [(1, "twice", 5), (1, "twice", 6), (None, long, 7)]
+    out = bpe.bpe_round_trip(spark.createDataFrame(rows, "doc_id long, text string, ids long").withColumn("n_tokens", F.lit("clash")), with_ids=True).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == [(0, len(tik.encode_ordinary(long))), (1, len(tik.encode_ordinary("twice"))), (1, len(tik.encode_ordinary("twice")))]
+
+
+def test_the_memo_stays_bounded_within_one_text(codec):
+    codec.encode(" ".join(f"word{i}" for i in range(5000)))
+    assert len(codec.memo) <= codec.limit + 1
+
+
 # ---- dedup
 def test_dedup_ties_and_heavy_digests(spark):
     rows = [(i, "same text") for i in range(5, 60)] + [(3, "same  text"), (4, "same text"), (61, None), (60, " "), (62, ""), (70, "x"), (70, "x"), (None, "x"), (None, "lonely")]
@@ -221,6 +233,12 @@ def test_pieces_and_packing(spark):
     assert packing.best_fit_packing(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_packing_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "same text", 9), (1, "same text", 8), (None, None, 7)]
+    got = packing.best_fit_packing(spark.createDataFrame(rows, DOCS + ", piece int").withColumn("length", F.lit("clash"))).collect()
+    assert sorted((r.doc_id or 0, r.piece) for r in got) == [(0, 0), (1, 0), (1, 0)] and len({(r.sequence_id, r.offset) for r in got}) == 3
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=80))
 def test_local_search_keeps_bins_sound(lengths):

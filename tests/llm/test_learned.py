@@ -79,6 +79,14 @@ def test_calibration_rows_are_not_counted(spark, monkeypatch):
     assert {r.lang_pred for r in got if r.doc_id == -1} == {"fr"}  # too few to keep some
 
 
+def test_ties_and_repeated_rows_of_languages(spark):
+    docs = [(i, "same words", lang, "s", 0) for i, lang in enumerate(["en", "de"] * 6)] + [(50, "same words", None, "s", 0)] * 2
+    got = langid.identify(spark.createDataFrame(docs, DOCS)).collect()
+    taught = Counter(lang for i, _, lang, _, _ in docs[:12] if zlib.crc32(str(i).encode()) % 3 != 1)
+    said = {r.lang_pred for r in got}
+    assert len(got) == 14 and len(said) == 1 and (said == {"de"} or taught["de"] != taught["en"])
+
+
 def test_every_gram_of_a_large_language_counts(spark, monkeypatch):
     # more 4-grams than the 2^18 a language once had: each text has its own four letters of an alphabet of thousands
     r = np.random.default_rng(5)
@@ -236,3 +244,10 @@ def test_licenses_of_whole_texts_and_wrapped_notices(spark):
     got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, path string"), F.col("path")).collect()}
     assert {p: got[p].own_license for p in found} == {p: name for p, (_, name) in found.items()}
     assert (got["a/x/below.py"].license, got["a/x/below.py"].license_from) == ("MIT", "a") and [got[p].origin for p in ("b/next.py", "g/none.py")] == ["none", "none"]
+
+
+def test_licenses_of_a_very_long_file(spark):
+    body = "def f(x): return x\n" * 40_000
+    rows = [(1, body + licenses.TEXTS["MIT"][0] + "\n" + body, "a/long.py"), (2, body, "b/long.py"), (3, "Released under the MIT License.\n" * 3, "c/x"), (3, "Released under the MIT License.\n" * 3, "c/x")]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, path string"), F.col("path")).collect()
+    assert sorted((r.doc_id, r.own_license) for r in got if r.own_license) == [(1, "MIT"), (3, "MIT"), (3, "MIT")] and len(got) == 4

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import discard, shared_root, staged
+from tidemark.sources.scratch import discard, passing, shared_root, staged
 
-__all__ = ["bounded_batches", "discard", "hot_join", "possible", "row_key", "shared_root", "staged", "table", "text_key", "text_or_empty", "without"]
+__all__ = ["bounded_batches", "discard", "hot_join", "passing", "possible", "row_key", "shared_root", "staged", "table", "text_key", "text_or_empty", "without"]
 
 #: Bytes of an Arrow batch between JVM and Python; longer single texts still travel whole.
 BATCH_BYTES = 8 << 20
