@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, near_dedup, packing, quality, secrets
-from tidemark.llm.shared import staged, table
+from tidemark.llm.shared import discard, passing, staged, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each is written to the shared folder and read by the next."""
+    """All stages over ``documents``; the result of each is written to the shared folder and read by the next.
+
+    Each stage judges every row by its own values. Null and blank texts leave in the first; rows that repeat a text, whatever
+    their doc_id or without one, come down to one in the second; a null source or language is a value of its own. Texts are
+    whole at any length, other columns travel along, whatever their names, and an empty table gives no rows. What a
+    stage wrote for itself is deleted once its result is written, and that result once the next one's is.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with passing() as kept:
+            done = staged(stage(spark, docs, sf_dir), name)
+            kept.append(done)
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
