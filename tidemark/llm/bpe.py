@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -145,14 +146,20 @@ class _Memo(dict):
 
     def __missing__(self, pre_token: str) -> str:
         found = self.old.get(pre_token) or self.codec.ids_of(pre_token)
-        if len(pre_token) <= 64:
+        if len(pre_token) <= 64 and len(self) <= self.codec.limit:  # within one long text too
             self[pre_token] = found
         return found
 
 
+@cache
+def _codec(path: str, pattern: str) -> Codec:
+    """One codec for all tasks of a worker process."""
+    return Codec(path, pattern)
+
+
 def _coder(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        codec = _codec(path, pattern)
         for batch in batches:
             counts, id_hashes, texts, ids_out = [], [], [], []
             for value in batch.column("text"):
