@@ -497,6 +497,35 @@ def test_limiters_over_pauses(spark):
     assert {x.event_id: x.accepted for x in monitoring.token_bucket(df, 1 / 100, 3).collect()} == bucket
 
 
+def test_limiters_over_odd_rows(spark):
+    import random
+    from collections import defaultdict, deque
+
+    from tidemark.operators import monitoring
+
+    r, big = random.Random(5), 1 << 60  # ids beyond what a double holds
+    rows = [(r.choice([None, big, big + 1, big + 1, big + 1]), big + i, None if i % 50 == 7 else r.choice([0, 1, 2, 5, 5000, 100_000]) + r.randrange(3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for seconds, most, rate, burst in [(3, 2, 0.5, 3), (0, 1, 0, 4), (1, 0, 2, 0), (7000, 4, 1 / 60, 2)]:
+        window, bucket, seen, left, last = {}, {}, defaultdict(deque), defaultdict(lambda b=burst: float(b)), {}
+        for u, i, t in sorted(rows, key=lambda x: (x[2] is not None, x[2] or 0, x[1])):
+            if t is None:
+                window[i] = bucket[i] = False
+                continue
+            while seen[u] and seen[u][0] <= t - seconds:
+                seen[u].popleft()
+            window[i] = len(seen[u]) < most
+            seen[u].extend([t] if window[i] else [])
+            left[u] = min(float(burst), left[u] + (t - last.get(u, t)) * rate)
+            last[u], bucket[i] = t, left[u] >= 1
+            left[u] -= bucket[i]
+        got = monitoring.sliding_limiter(df, seconds, most).collect()
+        assert {x.event_id: x.accepted for x in got} == window and len(got) == len(rows)
+        assert {(x.user_id, x.event_id) for x in got} == {x[:2] for x in rows}
+        assert {x.event_id: x.accepted for x in monitoring.token_bucket(df, rate, burst).collect()} == bucket
+    assert monitoring.sliding_limiter(df.limit(0), 3, 2).count() == 0
+
+
 def test_smaller_additions(spark, tmp_path):
     from tidemark.operators import monitoring
     from tidemark.plans import models

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def rate_window(events: DataFrame, seconds: int, most: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -14,53 +17,87 @@ def rate_window(events: DataFrame, seconds: int, most: int, key: str = "user_id"
 
 
 def _stretches(events: DataFrame, gap: float, key: str, ts: str, tie: str) -> DataFrame:
-    """``key, tie, _t, _s``: seconds, and the number of the stretch of a key's history that no pause of ``gap`` seconds breaks.
+    """``key, tie, _t, _s``: seconds, and the name of the stretch of a key's history that no pause of ``gap`` seconds breaks.
 
     After such a pause nothing of before counts any more, so stretches are decided each by itself, and a key with a long
-    history is many tasks.
+    history is many tasks. No pause fits into a span of one gap, so only the ends of the spans are looked at in order.
     """
-    by = Window.partitionBy(key).orderBy("_t", tie)
+    gap = max(gap, 1e-6)
     rows = events.select(key, tie, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"))
-    after = F.coalesce(F.col("_t") - F.lag("_t").over(by) >= gap, F.lit(False)).cast("int")
-    return rows.withColumn("_a", after).withColumn("_s", F.sum("_a").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_a")
+    rows = rows.withColumn("_b", F.floor(F.col("_t") / F.lit(gap)))
+    by = Window.partitionBy(key).orderBy("_b")
+    ends = rows.groupBy(key, "_b").agg(F.min("_t").alias("_low"), F.max("_t").alias("_high"))
+    ends = ends.withColumn("_a", F.coalesce(F.col("_low") - F.lag("_high").over(by) >= gap, F.lit(False)).cast("int"))
+    ends = ends.withColumn("_s", F.sum("_a").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    named = ends.select(F.col(key).alias("_key"), F.col("_b").alias("_span"), F.to_json(F.struct(F.col(key).alias("k"), "_s")).alias("_s"))
+    return rows.join(named, F.col(key).eqNullSafe(F.col("_key")) & F.col("_b").eqNullSafe(F.col("_span"))).select(key, tie, "_t", "_s")
+
+
+def _decided(stretches: DataFrame, key: str, tie: str, fresh: Callable[[], Callable[[float], bool]]) -> DataFrame:
+    """``key, tie, accepted``: each stretch in order of time through a decision of its own; a task holds one batch of rows."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        at, accept = None, None
+        for batch in batches:
+            out = []
+            for s, t in zip(batch.column("_s").to_pylist(), batch.column("_t").to_pylist(), strict=True):
+                if s != at:
+                    at, accept = s, fresh()
+                out.append(t is not None and accept(t))
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(tie), pa.array(out, pa.bool_())], names=[key, tie, "accepted"])
+
+    kinds = T.StructType([stretches.schema[key], stretches.schema[tie], T.StructField("accepted", T.BooleanType())])
+    return stretches.repartition("_s").sortWithinPartitions("_s", "_t", tie).mapInArrow(run, kinds)
 
 
 def sliding_limiter(events: DataFrame, seconds: float, most: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """``key, tie, accepted``: only accepted events take room in the window, so each decision depends on those before."""
-    kinds = dict(events.dtypes)
+    """``key, tie, accepted``: only accepted events take room in the window, so each decision depends on those before.
+
+    Events of the same moment come in order of ``tie``, rows without a key share one window, and an event without a time
+    is refused and takes no room.
+    """
 
-    def fold(pdf):
+    def fresh():
         from collections import deque
 
-        pdf, seen, out = pdf.sort_values(["_t", tie]), deque(), []
-        for t in pdf["_t"]:
+        seen = deque()
+
+        def accept(t):
             while seen and seen[0] <= t - seconds:
                 seen.popleft()
             ok = len(seen) < most
             if ok:
                 seen.append(t)
-            out.append(ok)
-        return pdf[[key, tie]].assign(accepted=out)
+            return ok
 
-    return _stretches(events, seconds, key, ts, tie).groupBy(key, "_s").applyInPandas(fold, f"{key} {kinds[key]}, {tie} {kinds[tie]}, accepted boolean")
+        return accept
+
+    return _decided(_stretches(events, seconds, key, ts, tie), key, tie, fresh)
 
 
 def token_bucket(events: DataFrame, per_second: float, burst: float, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """``key, tie, accepted``: a bucket of ``burst`` tokens refilled at ``per_second``; each event takes one."""
-    kinds = dict(events.dtypes)
+    """``key, tie, accepted``: a bucket of ``burst`` tokens refilled at ``per_second``; each event takes one.
 
-    def fold(pdf):
-        pdf, left, last, out = pdf.sort_values(["_t", tie]), float(burst), None, []
-        for t in pdf["_t"]:
+    Ties, rows without a key and events without a time as in :func:`sliding_limiter`.
+    """
+
+    def fresh():
+        left, last = float(burst), None
+
+        def accept(t):
+            nonlocal left, last
             left = min(float(burst), left + (0 if last is None else (t - last) * per_second))
             last, ok = t, left >= 1
             left -= ok
-            out.append(ok)
-        return pdf[[key, tie]].assign(accepted=out)
+            return ok
+
+        return accept
 
     # a bucket that had time to fill is as good as new; a margin, since times are rounded
     full = burst / per_second * (1 + 1e-9) if per_second > 0 else float("inf")
-    return _stretches(events, full, key, ts, tie).groupBy(key, "_s").applyInPandas(fold, f"{key} {kinds[key]}, {tie} {kinds[tie]}, accepted boolean")
+    return _decided(_stretches(events, full, key, ts, tie), key, tie, fresh)
 
 
 def counters(events: DataFrame, *keys: str, value: str = "value") -> DataFrame:
