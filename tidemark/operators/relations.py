@@ -24,18 +24,25 @@ def described(units: DataFrame) -> DataFrame:
     })
 
 
-def inference(a: str, b: str) -> dict[str, Column]:
+def overlap(a: str = "a", b: str = "b") -> Column:
+    return jaccard(F.col(f"{a}._tokens"), F.col(f"{b}._tokens"))
+
+
+def inference(a: str, b: str, j: Column | None = None) -> dict[str, Column]:
     """Deterministic stand-in for a language-inference model: contradiction, entailment, neutral."""
-    j = jaccard(F.col(f"{a}._tokens"), F.col(f"{b}._tokens"))
+    j = overlap(a, b) if j is None else j
     turned = F.col(f"{b}._neg") & ~F.col(f"{a}._neg") & (j >= NEGATED)
     entail = F.when(turned, 0.05).when(j >= SAME, F.round(0.75 + 0.20 * j, 4)).otherwise(0.10)
     return {"contradiction": F.when(turned, 0.85).when(j >= SAME, 0.05).otherwise(0.10), "entailment": entail}
 
 
-def relationship(a: str = "a", b: str = "b", nli: dict[str, Column] | None = None) -> tuple[Column, Column]:
-    """Relationship and confidence of older claim ``a`` and newer claim ``b``; the first rule that holds decides."""
-    nli = nli or inference(a, b)
-    j = jaccard(F.col(f"{a}._tokens"), F.col(f"{b}._tokens"))
+def relationship(a: str = "a", b: str = "b", nli: dict[str, Column] | None = None, j: Column | None = None) -> tuple[Column, Column]:
+    """Relationship and confidence of older claim ``a`` and newer claim ``b``; the first rule that holds decides.
+
+    ``j`` is a column with the :func:`overlap` of the pair, which most rules look at.
+    """
+    j = overlap(a, b) if j is None else j
+    nli = nli or inference(a, b, j)
     same = (F.col(f"{a}._topic") == F.col(f"{b}._topic")) & (F.col(f"{a}._topic") != C.GENERAL)
     update, temporal, negated = (F.col(f"{b}.{x}") for x in ("_update", "_temporal", "_neg"))
     entails = nli["entailment"] >= ENTAILS
@@ -85,11 +92,12 @@ def compared(older: DataFrame, newer: DataFrame, model: Inference | None = None)
     of one are bounded too. With a ``model`` its scores decide, and the rules wherever it fails.
     """
     pairs = described(older).alias("a").join(described(newer).alias("b"), (F.col("a.conversation_id") == F.col("b.conversation_id")) & (F.col("a.seq") < F.col("b.seq")))
+    pairs, j = pairs.withColumn("_j", overlap()), F.col("_j")  # once a pair, not once a rule
     if model is None:
-        kind, confidence = relationship()
+        kind, confidence = relationship(j=j)
     else:
-        pairs, rules = model_inference(pairs, model), inference("a", "b")
-        kind, confidence = relationship(nli={"contradiction": F.coalesce("_con", rules["contradiction"]), "entailment": F.coalesce("_ent", rules["entailment"])})
+        pairs, rules = model_inference(pairs, model), inference("a", "b", j)
+        kind, confidence = relationship(nli={"contradiction": F.coalesce("_con", rules["contradiction"]), "entailment": F.coalesce("_ent", rules["entailment"])}, j=j)
     return pairs.select(
         F.col("a.conversation_id").alias("conversation_id"), F.col("a.mu_id").alias("mu_a_id"), F.col("b.mu_id").alias("mu_b_id"),
         kind.alias("relationship"), F.round(confidence, 6).alias("confidence"),

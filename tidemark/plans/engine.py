@@ -56,7 +56,9 @@ def bulk_ingest(turns: DataFrame, prior: DataFrame | None = None, nli: relations
     compared = staged(relations.compared(before, claims, nli), "compared")
     earlier = before.select("conversation_id", F.col("mu_id").alias("a"), F.col("seq").alias("sa"), dedup_tokens(F.col("claim")).alias("ta"))
     later = claims.select("conversation_id", F.col("mu_id").alias("b"), F.col("seq").alias("sb"), dedup_tokens(F.col("claim")).alias("tb"))
-    alike = earlier.join(later, "conversation_id").where((F.col("sa") < F.col("sb")) & (jaccard(F.col("ta"), F.col("tb")) >= KNOWN_SAME)).select(F.col("b").alias("mu_id"))
+    sizes = F.size("ta"), F.size("tb")
+    near = F.least(*sizes) / F.nullif(F.greatest(*sizes), F.lit(0)) >= KNOWN_SAME  # no overlap is larger
+    alike = earlier.join(later, "conversation_id").where((F.col("sa") < F.col("sb")) & near & (jaccard(F.col("ta"), F.col("tb")) >= KNOWN_SAME)).select(F.col("b").alias("mu_id"))
     known = alike.unionByName(compared.where("relationship = 'same_fact'").select(F.col("mu_b_id").alias("mu_id"))).distinct()
     new = staged(claims.join(known, "mu_id", "left_anti").select(claims.columns), "new")
     ends = new.select("mu_id") if prior is None else new.select("mu_id").unionByName(prior.select("mu_id"))
